@@ -1,23 +1,8 @@
-"""Queries of the core: (spark, folder of the tables) -> DataFrame."""
+"""All queries of the core, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lanternfish.plans import corpus, flows, retrieval  # noqa: F401 - they register their queries
+from lanternfish.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-from lanternfish.operators import packed_values
-from lanternfish.session import table
-
-
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return packed_values.unpacked_several(table(spark, sf, "images"))
-
-
-def p2_values(spark: SparkSession, sf: str) -> DataFrame:
-    """All values, those that stand alone too."""
-    return packed_values.unpacked(table(spark, sf, "images"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_values)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
