@@ -91,7 +91,7 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 _SCALE = "sc AS (SELECT round(quantile_cont(abs(x), 0.9999), 9) AS scale FROM (SELECT unnest(v) AS x FROM e))"
 _CODES = "c AS (SELECT id, list_transform(v, lambda x: greatest(-127, least(127, round_even(x / scale * 127, 0)))) AS v FROM e, sc)"
 _INT8 = f"s8 AS (SELECT a.id AS qid, b.id AS id, round(list_dot_product(a.v, b.v), 6) AS score FROM c a, c b WHERE a.id % 20 = 0)"
-_RECALL = "SELECT round(avg(r), 6) AS recall, count(*) AS queries FROM (SELECT x.qid, count(f.id) / 10.0 AS r FROM {exact} x LEFT JOIN {found} f ON x.qid = f.qid AND x.id = f.id GROUP BY x.qid)"
+_RECALL = "SELECT round((SELECT count(*) FROM (SELECT qid, id FROM {exact} INTERSECT SELECT qid, id FROM {found})) / (10.0::DOUBLE * count(DISTINCT qid)), 6) AS recall, count(DISTINCT qid) AS queries FROM s"
 
 
 @query("WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT round(quantile_cont(abs(x), 0.9999), 9) AS scale FROM (SELECT unnest(v) AS x FROM e)")
