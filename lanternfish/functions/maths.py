@@ -42,7 +42,7 @@ def request_interval(headers: Column, least: float = 2 / 3, default: float = 3.3
 def progress(done: Column, target: Column, per_minute: Column) -> dict[str, Column]:
     """Remaining, percentage and minutes to go; the last is null without a pace."""
     left = F.greatest(target - done, F.lit(0))
-    return {"remaining": left, "pct": F.round(F.least(F.lit(100.0), 100.0 * done / target), 2), "eta_minutes": F.when(per_minute > 0, F.round(left / per_minute, 2))}
+    return {"remaining": left, "pct": F.round(F.least(F.lit(100.0), F.try_divide(100.0 * done, target)), 2), "eta_minutes": F.when(per_minute > 0, F.round(F.try_divide(left, per_minute), 2))}
 
 
 def exit_code(done: Column, target: Column, queued: Column, goal_met: Column) -> Column:

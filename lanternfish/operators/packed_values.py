@@ -1,7 +1,7 @@
 """Problem 2: several values packed in one field, one row per value with its place.
 
 A field is cut at separators outside quotes. Some legitimate values hold a separator and are sometimes typed without quotes. The dictionary of such
-whole values is learned from the collection itself: values that are quoted somewhere, often enough, and of which at least one part never stands
+whole values is learned from the collection itself: values that are quoted somewhere, often enough, and of which at least one part hardly ever stands
 alone. An automaton finds all of them in a field in one pass, and dynamic programming picks the cover of the field by known values
 and single pieces that leaves the fewest pieces; separators inside a chosen known value are protected.
 
@@ -134,15 +134,16 @@ def _split(fields: DataFrame, dictionary: list[str]) -> DataFrame:
 
 
 def whole_values(values: DataFrame, least: int = 20, most: int = 50_000) -> list[str]:
-    """Known whole values that hold a separator: quoted ``least`` times or more, with a part that never stands alone.
+    """Known whole values that hold a separator: quoted ``least`` times or more, with a part that stands alone at most a fourth as often.
 
     ``most`` bounds the model that is sent to the executors, the most frequent first; a value beyond it is cut as the rules say.
     """
     counted = values.groupBy("tag", "quoted").count()
     holding = counted.where("quoted").where(F.col("tag").rlike(SEPARATOR) & (F.col("count") >= least)).select("tag", "count")
     parts = holding.select("tag", "count", F.explode(F.split("tag", SEPARATOR)).alias("part")).withColumn("part", F.trim("part"))
-    alone = counted.where(~F.col("tag").rlike(SEPARATOR)).select(F.col("tag").alias("part")).distinct()
-    known = parts.join(alone, "part", "left_anti").groupBy("tag").agg(F.max("count").alias("n"))
+    alone = counted.where(~F.col("tag").rlike(SEPARATOR)).groupBy(F.col("tag").alias("part")).agg(F.sum("count").alias("alone"))
+    seen = parts.join(alone, "part", "left").groupBy("tag").agg(F.max("count").alias("n"), F.min(F.coalesce("alone", F.lit(0))).alias("alone"))
+    known = seen.where(F.col("alone") * 4 <= F.col("n"))
     return [r.tag for r in known.orderBy(F.desc("n"), "tag").limit(most).collect()]
 
 

@@ -24,7 +24,7 @@ SCORED = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T
 def top(df: DataFrame, k: int, per: str = "qid", score: str = "score", key: str = "id", to: str = "rank") -> DataFrame:
     """The k best rows of each query, ranked."""
     w = W.partitionBy(per).orderBy(F.col(score).desc(), F.col(key))
-    return df.withColumn(to, F.row_number().over(w)).where(F.col(to) <= k)
+    return df.withColumn(to, F.row_number().over(w).cast("long")).where(F.col(to) <= k)
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -30,12 +30,12 @@ def threshold_sweep(df: DataFrame, score: str, bad: str, thresholds: list[float]
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """(auc, positives, negatives) by the rank sum, equal scores sharing their average rank. Ranks come from counts of distinct scores."""
+    """(auc, positives, negatives) by the rank sum, equal scores sharing their average rank. Ranks come from counts of distinct scores. Null if one class is empty."""
     counts = df.where(f"{score} is not null and {positive} is not null").groupBy(score).agg(F.count("*").alias("n"), F.sum(positive).alias("p"))
     before = F.coalesce(F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = counts.withColumn("rank", before + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
-    area = (F.col("s") - F.col("positives") * (F.col("positives") + 1) / 2) / (F.col("positives") * F.col("negatives"))
+    area = F.try_divide(F.col("s") - F.col("positives") * (F.col("positives") + 1) / 2, F.col("positives") * F.col("negatives"))
     return sums.select(F.round(area, 6).alias("auc"), "positives", "negatives")
 
 
@@ -48,4 +48,4 @@ def exact_duplicates(df: DataFrame, value: str) -> DataFrame:
 def spread(df: DataFrame, lane: str, weight: str) -> DataFrame:
     """(lanes, max_load, mean_load, max_over_mean)."""
     loads = df.groupBy(lane).agg(F.sum(weight).alias("load"))
-    return loads.agg(F.count("*").alias("lanes"), F.round(F.max("load"), 6).alias("max_load"), F.round(F.avg("load"), 6).alias("mean_load"), F.round(F.max("load") / F.avg("load"), 6).alias("max_over_mean"))
+    return loads.agg(F.count("*").alias("lanes"), F.round(F.max("load"), 6).alias("max_load"), F.round(F.avg("load"), 6).alias("mean_load"), F.round(F.try_divide(F.max("load"), F.avg("load")), 6).alias("max_over_mean"))

@@ -20,7 +20,7 @@ def int8_scale(df: DataFrame, vec: str, share: float = 0.9999) -> DataFrame:
 
 def int8(vec: Column, scale: Column) -> Column:
     """Signed codes of -127 to 127, half to even."""
-    return F.transform(vec, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.rint(x.cast("double") / scale * 127))).cast("tinyint"))
+    return F.transform(vec, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.coalesce(F.rint(F.try_divide(x.cast("double"), scale) * 127), F.lit(0.0)))).cast("tinyint"))
 
 
 def sign_bits(vec: Column) -> Column:

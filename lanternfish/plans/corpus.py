@@ -231,7 +231,7 @@ def title_series(spark: SparkSession, sf: str) -> DataFrame:
 def topic_allocation(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "topic_hits")
     kinds = rows.groupBy(F.regexp_extract("topic", r"(\S+)$", 1).alias("kind")).agg(F.count("*").alias("topics"), F.sum("hits").alias("hits"))
-    return kinds.crossJoin(F.broadcast(rows.agg(F.sum("hits").alias("total")))).select("kind", "topics", "hits", F.round(100.0 * F.col("hits") / F.col("total"), 6).alias("pct"))
+    return kinds.crossJoin(F.broadcast(rows.agg(F.sum("hits").alias("total")))).select("kind", "topics", "hits", F.round(F.try_divide(100.0 * F.col("hits"), F.col("total")), 6).alias("pct"))
 
 
 @query("SELECT substr(md5(id), 1, 2) AS shard, count(*) AS rows, min(id) AS first_id, count(DISTINCT id) AS ids FROM images WHERE id IS NOT NULL GROUP BY 1")

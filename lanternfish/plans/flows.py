@@ -70,7 +70,7 @@ def settled_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Mean rate without the first two buckets, and the hours that a million rows take twenty workers at it."""
     b = table(spark, sf, "events").groupBy(F.window("ts", "5 minutes")["start"].alias("bucket")).agg((F.count("*") / 300.0).alias("rate"))
     b = b.withColumn("i", F.row_number().over(W.orderBy("bucket"))).where("i > 2")
-    return b.agg(F.round(F.avg("rate"), 6).alias("settled"), F.round(1e6 / (F.avg("rate") * 20) / 3600, 6).alias("hours"))
+    return b.agg(F.round(F.avg("rate"), 6).alias("settled"), F.round(F.try_divide(F.lit(1e6), F.avg("rate") * 20) / 3600, 6).alias("hours"))
 
 
 _SAMPLES = "n AS (SELECT user_id, epoch(ts)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
@@ -90,7 +90,7 @@ def trailing_pace(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SAMPLES}, l AS (SELECT user_id, max(n) AS done, 60.0::DOUBLE * (max(n) - 1) / (max(t) - min(t)) AS pace FROM n GROUP BY user_id) SELECT user_id, greatest(1000 - done, 0) AS remaining, round(least(100.0, 100.0::DOUBLE * done / 1000), 2) AS pct, CASE WHEN pace > 0 THEN round(greatest(1000 - done, 0) / pace, 2) END AS eta_minutes FROM l".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
 def progress_eta(spark: SparkSession, sf: str) -> DataFrame:
-    last = _samples(spark, sf).groupBy("user_id").agg(F.max("n").alias("done"), (60.0 * (F.max("n") - 1) / (F.max("t") - F.min("t"))).alias("pace"))
+    last = _samples(spark, sf).groupBy("user_id").agg(F.max("n").alias("done"), F.try_divide(60.0 * (F.max("n") - 1), F.max("t") - F.min("t")).alias("pace"))
     return last.select("user_id", *[c.alias(n) for n, c in maths.progress(F.col("done"), F.lit(1000), F.col("pace")).items()])
 
 
