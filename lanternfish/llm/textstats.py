@@ -34,7 +34,7 @@ WORD = r"[\p{L}\p{N}@!#%&*§¶[\p{S}&&[^|]]]+"
 BLOCK = r"(?i)</?(?:p|tr|li|br|div|h[1-6]|table|ul|ol|dl|dt|dd)\b[^<>]*>|\r\n?"
 MARKUP = r"<[^<>]*>|&(?:[A-Za-z]+|#\d+);"
 ITEM = r"^\s*(?:[-*•–—+>]|\d+[.)]|\[[ xX]?\]|#\w|[a-z][.)])\s*"
-CELLS = r"\|.*\||\t|\S {3,}\S|^[^,]+(?:,[^,\s][^,]*){2,}$|^\s*[\w ]{1,24}\s*[:=]\s*\S|\d{4}-\d\d-\d\dT"
+CELLS = r"\|.*\||\t|\S {3,}\S|,[^\s,][^,]*,[^\s,]|^\s*[\w ]{1,24}\s*[:=]\s*\S|\d{4}-\d\d-\d\dT"
 ENDED = r"[.!?…][\"'”’)»]*\s*$"
 
 
