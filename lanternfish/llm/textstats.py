@@ -28,9 +28,26 @@ COMMON = {
 COMMON_WORDS = sorted({w for words in COMMON.values() for w in words.split() if len(w) > 1})
 # Signs that are typed for letters; any other sign inside a word may stand for a vowel.
 TYPED, LETTERS = "@30!1$5", "aeoilss"
-VOWEL_OR_SIGN = r"[^\p{L}\p{N}]|[aeiouàáâèéêíóúûüöä]"
-SKELETONS = sorted({re.sub("[aeiouàáâèéêíóúûüöä]", ".", w) for w in COMMON_WORDS} - {".", ".."})
-WORD = r"[\p{L}\p{N}@!#%&*§¶[\p{S}&&[^|]]]+"
+VOWEL_OR_SIGN = r"[^\p{L}\p{N}\s|.,;:'’\"()/-]|[aeiouàáâèéêíóúûüöä]"
+SKELETONS = sorted({re.sub("[aeiouàáâèéêíóúûüöä]", "¿", w) for w in COMMON_WORDS if len(w) > 2 or w[0] not in "aeiou"} - {"¿¿"})
+DISGUISED = r"\p{L}[^\p{L}\s|.,;:'’\"()/_-]+\p{L}"
+WORD = r"[\p{L}\p{N}@!#%&*§¶[\p{S}&&[^|]]]*[\p{L}\p{N}][\p{L}\p{N}@!#%&*§¶[\p{S}&&[^|]]]*"
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern of the words that shares their beginnings, so a place in a text is left after few comparisons."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    branches = []
+    for head, tails in sorted(heads.items()):
+        longer = [t for t in tails if t]
+        branches.append(re.escape(head) + (_trie(longer) + ("?" if "" in tails else "") if longer else ""))
+    return "(?:" + "|".join(branches) + ")"
+
+
+ANY_COMMON = r"(?<![\p{L}\p{N}])" + _trie(COMMON_WORDS) + r"(?![\p{L}\p{N}])"
+ANY_SKELETON = r"(?<![\p{L}\p{N}¿])" + _trie(SKELETONS) + r"(?![\p{L}\p{N}¿])"
 BLOCK = r"(?i)</?(?:p|tr|li|br|div|h[1-6]|table|ul|ol|dl|dt|dd)\b[^<>]*>|\r\n?"
 MARKUP = r"<[^<>]*>|&(?:[A-Za-z]+|#\d+);"
 ITEM = r"^\s*(?:[-*•–—+>]|\d+[.)]|\[[ xX]?\]|#\w|[a-z][.)])\s*"
@@ -41,22 +58,25 @@ ENDED = r"[.!?…][\"'”’)»]*\s*$"
 def _lines(df: DataFrame, key: str, column: str) -> DataFrame:
     """One row per non-empty line of each text, blocks of markup on lines of their own."""
     rows = df.select(F.col(key), F.monotonically_increasing_id().alias("row"), F.col(column).alias("text"))
-    whole = F.split(F.regexp_replace("text", BLOCK, "\n"), "\n")
-    once = F.array_distinct(F.filter(whole, lambda x: F.trim(x) != ""))
-    rows = rows.select(key, "row", F.coalesce(F.length("text"), F.lit(0)).alias("raw"), F.size(once).alias("different"), F.explode_outer(whole).alias("line"))
+    rows = rows.withColumn("whole", F.split(F.regexp_replace("text", BLOCK, "\n"), "\n"))
+    once = F.array_distinct(F.transform(F.filter("whole", lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))  # numbers go through a hash set, strings would be compared one by one
+    rows = rows.select(key, "row", F.coalesce(F.length("text"), F.lit(0)).alias("raw"), F.size(once).alias("different"), "whole")  # before the rows become lines
+    rows = rows.select(key, "row", "raw", "different", F.explode_outer("whole").alias("line"))
     return rows.withColumn("shown", F.trim(F.regexp_replace(F.regexp_replace("line", MARKUP, " "), r"(?U)\s+", " ")))
 
 
 def statistics(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """One row per document: counts and shares of its words, symbols and lines."""
     lines = _lines(df, key, column)
-    words = F.regexp_extract_all(F.lower("shown"), F.lit(WORD), F.lit(0))
-    lines = lines.withColumn("words", F.filter(words, lambda w: w.rlike(r"[\p{L}\p{N}]")))
-    common = F.filter("words", lambda w: F.translate(w, TYPED, LETTERS).isin(COMMON_WORDS) | (w.rlike(r"[^\p{L}\p{N}]") & F.regexp_replace(w, VOWEL_OR_SIGN, ".").isin(SKELETONS)))
+    lines = lines.withColumn("low", F.lower("shown")).withColumn("w", F.regexp_count("low", F.lit(WORD)))
+    typed = F.regexp_count(F.translate("low", TYPED, LETTERS), F.lit(ANY_COMMON))
+    masked = F.regexp_count(F.regexp_replace("low", VOWEL_OR_SIGN, "¿"), F.lit(ANY_SKELETON))
+    common = F.regexp_count("low", F.lit(ANY_COMMON))
+    distinct = F.size(F.array_distinct(F.transform(F.regexp_extract_all("low", F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x))))
     lines = lines.select(
-        key, "row", "raw", "different", "line", "shown", F.length("shown").alias("n"), F.size("words").alias("w"), F.size(common).alias("c"),
-        F.size(F.array_distinct("words")).alias("d"), F.aggregate("words", F.lit(0), lambda a, x: a + F.length(x)).alias("wl"),
-        F.length(F.regexp_replace("shown", r"[\p{L}\p{M}\s]", "")).alias("signs"), F.length(F.regexp_replace("shown", r"[^\p{Nd}]", "")).alias("digits"),
+        key, "row", "raw", "different", "line", "shown", F.length("shown").alias("n"), "w", F.when(F.col("low").rlike(DISGUISED), F.greatest(common, typed, masked)).otherwise(common).alias("c"),
+        F.when(F.col("w") >= 30, distinct).otherwise(F.col("w")).alias("d"), F.length(F.regexp_replace("low", r"[^\p{L}\p{N}@!#%&*§¶[\p{S}&&[^|]]]+", "")).alias("wl"),
+        F.length(F.regexp_replace("shown", r"[\p{L}\p{M}\s]+", "")).alias("signs"), F.length(F.regexp_replace("shown", r"[^\p{Nd}]+", "")).alias("digits"),
     )
     full, looped = F.col("n") > 0, (F.col("w") >= 30) & (F.col("d") < F.least(2 * F.sqrt("w"), F.lit(150)))
     prose = (F.col("w") > 0) & (F.col("c") >= F.col("w") * 0.2) & ~looped
