@@ -31,7 +31,8 @@ def title_words(df: DataFrame, column: str, to: str) -> DataFrame:
     """Adds ``to``, the sorted set of words of ``column``: runs of letters or digits of the consistent form, lower case, without markup and extension."""
     out = consistent_form(df, column, to)
     plain = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.col(to), MARKUP, " "))), EXTENSION, "")
-    return out.withColumn(to, F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))))
+    out = out.withColumn(to, F.array_sort(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))))
+    return out.withColumn(to, F.filter(to, lambda x, i: (i == 0) | (x != F.get(to, i - 1))))  # linear, where array_distinct compares all strings
 
 
 def _combinations(words: Column, k: int, most: int) -> Column:
@@ -62,7 +63,9 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, k: int = 3, rare: int
     candidates = x.join(y, "key").where(fits).select("a", "b").distinct()
     words = rows.select("s", "words")
     both = candidates.join(words.select(F.col("s").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("s").alias("b"), F.col("words").alias("wb")), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    # Strings are intersected one by one; long sets by their 64-bit hashes, through a hash set.
+    shared = F.when(F.size("wa") <= 2 * long_words, F.size(F.array_intersect("wa", "wb"))).otherwise(F.size(F.array_intersect(hashed("wa"), hashed("wb"))))
     return both.where(shared >= (F.size("wa") + F.size("wb") - shared) * threshold - 1e-9).select("a", "b")
 
 
