@@ -89,11 +89,11 @@ def word_meanings(words: DataFrame, threshold: float = 0.25, margin: float = 0.0
 
 
 def features(values: DataFrame) -> DataFrame:
-    """(value, has_version, feature) of each distinct value: its meanings, version and port."""
-    cutup = cut(values.withColumn("words", F.regexp_extract_all(normalised(F.col("value")), F.lit(WORD), F.lit(0))))
-    each = cutup.select("value", F.explode("words").alias("word")).where(F.col("word").rlike("^[a-z]"))
-    meant = each.join(word_meanings(each.select("word").distinct()), "word").groupBy("value").agg(F.collect_set("meaning").alias("m"))
-    rows = cutup.join(meant, "value", "left").withColumn("m", F.coalesce("m", F.array().cast("array<string>")))
+    """(v, has_version, feature) of each distinct value (v, value): its meanings, version and port. v is a short key, so a long value isn't repeated with each of its words."""
+    cutup = cut(values.select("v", F.regexp_extract_all(normalised(F.col("value")), F.lit(WORD), F.lit(0)).alias("words")))
+    each = cutup.select("v", F.explode("words").alias("word")).where(F.col("word").rlike("^[a-z]"))
+    meant = each.join(word_meanings(each.select("word").distinct()), "word").groupBy("v").agg(F.collect_set("meaning").alias("m"))
+    rows = cutup.join(meant, "v", "left").withColumn("m", F.coalesce("m", F.array().cast("array<string>")))
     has = lambda x: F.array_contains("m", x)
     by, zero = has("by"), has("zero")
     public = has("pd") | (has("public") & has("domain"))
@@ -107,36 +107,36 @@ def features(values: DataFrame) -> DataFrame:
     last = F.size("words") - F.array_position(F.reverse("words"), F.coalesce(F.try_element_at(F.filter("words", lambda w: w.rlike("^[0-9]")), F.lit(-1)), F.lit(""))) + 1
     port = F.when(F.col("version").isNotNull(), F.try_element_at(names, F.get("words", last.cast("int"))))
     found = F.array_compact(F.array(*[F.concat(F.lit("c:"), k) for k in kinds], F.concat(F.lit("v:"), "version"), F.concat(F.lit("p:"), port)))
-    return rows.select("value", F.col("version").isNotNull().alias("has_version"), F.explode(found).alias("feature"))
+    return rows.select("v", F.col("version").isNotNull().alias("has_version"), F.explode(found).alias("feature"))
 
 
 def matched(values: DataFrame, entries: DataFrame, threshold: float = 0.95, margin: float = 0.05, most_entries: int = 10_000) -> DataFrame:
-    """(value, license_id) of the distinct values that mean one entry."""
+    """(v, license_id) of the distinct values (v, value) that mean one entry."""
     if entries.limit(most_entries + 1).count() > most_entries:
         raise ValueError(f"the reference list has more than {most_entries} entries")
     parts = F.array_compact(F.concat(F.transform(F.split("code", "-"), lambda c: F.concat(F.lit("c:"), c)), F.array(F.concat(F.lit("v:"), "version"), F.concat(F.lit("p:"), F.lower("port")))))
-    listed = entries.select("license_id", F.explode(parts).alias("feature")).join(entries.select("license_id", F.col("version").isNotNull().alias("dated")), "license_id")
+    listed = entries.select("license_id", F.explode(parts).alias("feature"))
     index = F.broadcast(listed)
     # Weights: what the licence is counts most, then port and version.
     weight = F.when(F.col("feature").startswith("c:"), 2.0).otherwise(1.0)
     own = cut(features(values))
-    norm = own.groupBy("value").agg(F.sum(weight).alias("n"))
-    hit = own.join(index, "feature").groupBy("value", "license_id", "has_version").agg(F.sum(weight).alias("dot"))
-    sizes = listed.groupBy("license_id").agg(F.sum(weight).alias("m"), F.max(F.when(F.col("feature").startswith("v:"), 1.0).otherwise(0.0)).alias("v"))
-    scored = hit.join(norm, "value").join(F.broadcast(sizes), "license_id")
-    scored = scored.withColumn("score", F.col("dot") / F.sqrt(F.col("n") * (F.col("m") - F.when(F.col("has_version"), 0.0).otherwise(F.col("v")))))
-    best = scored.groupBy("value").agg(F.max_by("license_id", F.struct("score", "license_id")).alias("license_id"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("s"))
+    norm = own.groupBy("v").agg(F.sum(weight).alias("n"))
+    hit = own.join(index, "feature").groupBy("v", "license_id", "has_version").agg(F.sum(weight).alias("dot"))
+    sizes = listed.groupBy("license_id").agg(F.sum(weight).alias("m"), F.max(F.when(F.col("feature").startswith("v:"), 1.0).otherwise(0.0)).alias("dated"))
+    scored = hit.join(norm, "v").join(F.broadcast(sizes), "license_id")
+    scored = scored.withColumn("score", F.col("dot") / F.sqrt(F.col("n") * (F.col("m") - F.when(F.col("has_version"), 0.0).otherwise(F.col("dated")))))
+    best = scored.groupBy("v").agg(F.max_by("license_id", F.struct("score", "license_id")).alias("license_id"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("s"))
     sure = (F.get("s", F.lit(0)) >= threshold) & F.coalesce(F.get("s", F.lit(0)) - F.get("s", F.lit(1)) >= margin, F.lit(True))
-    return best.where(sure).select("value", "license_id")
+    return best.where(sure).select("v", "license_id")
 
 
-def license_ids(images: DataFrame, entries: DataFrame, key: str = "id", column: str = "license") -> DataFrame:
+def license_ids(images: DataFrame, entries: DataFrame, key: str = "id", column: str = "license", **how: float) -> DataFrame:
     """(id, license_id): one row per id whose value is not null, not blank and no name of the list; 0 if it means no single entry."""
     one = images.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(key).cast("string").alias("id")).agg(F.min(column).alias("value"))
     one = one.where(F.length(mapped(F.col("value"))) > 0).join(F.broadcast(entries.select(F.col("name").alias("value"))), "value", "left_anti")
-    one = cut(one)
-    found = matched(one.select("value").distinct(), entries)
-    return one.join(found, "value", "left").select("id", F.coalesce("license_id", F.lit(0)).cast("int").alias("license_id"))
+    one = cut(one.withColumn("v", F.unhex(F.md5("value"))))
+    found = matched(one.groupBy("v").agg(F.min("value").alias("value")), entries, **how)
+    return one.select("id", "v").join(found, "v", "left").select("id", F.coalesce("license_id", F.lit(0)).cast("int").alias("license_id"))
 
 
 def unmatched(images: DataFrame, entries: DataFrame, column: str = "license") -> DataFrame:
