@@ -125,7 +125,7 @@ class Model:
         for y, n, own in labelled:
             for s in own:
                 votes.setdefault(s, np.zeros(2))[:] += (y * n, (1 - y) * n)
-        # A part in many images of which hardly any was rated unsafe is safe: those that could have been rated count as safe votes.
+        # A part in many images of which hardly any was rated unsafe is safe: of the others, as many as would have been rated count as safe votes.
         for s, own in votes.items():
             own[1] += expected.get(s, 0.0)
         texts = sorted(votes)
@@ -205,10 +205,11 @@ def fit(texts: DataFrame, labels: DataFrame, most_examples: int = 20_000, rarest
         return None
     total, count = _frequencies(texts, wanted)
     held = {g[1:]: n for g, n in count.items() if g.startswith("=")}
+    rated_parts = Counter(s for _, _, own in labelled for s in own)
     rated_share = len(labelled) / max(total, 1)
     least = max(1.0, rarest * total)
     idf = {g: float(np.log(1 + total / max(n, least))) for g, n in count.items() if not g.startswith("=")}
-    return Model(labelled, {s: n * rated_share for s, n in held.items()}, idf | {"": float(np.log(1 + total / least))}, **how)
+    return Model(labelled, {s: max(n - rated_parts[s], 0) * rated_share for s, n in held.items()}, idf | {"": float(np.log(1 + total / least))}, **how)
 
 
 def scores(images: DataFrame, labels: DataFrame, most_examples: int = 20_000, **how: float) -> DataFrame:
