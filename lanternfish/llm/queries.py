@@ -20,7 +20,7 @@ def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.pairs(neighbours.most_similar(table(spark, sf, "vectors")))
+    return neighbours.pairs(neighbours.most_similar(table(spark, sf, "vectors"), rounds=2))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
