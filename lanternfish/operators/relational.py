@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lanternfish.session import cut
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -41,7 +43,7 @@ def numbered(df: DataFrame, order: list[str], to: str = "n") -> DataFrame:
 
     Rows are range-partitioned by the order and sorted within partitions; counts of the partitions, one small row each, give every partition its start.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))  # written, as range borders are sampled anew whenever they are computed
     own = parts.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     starts = parts.groupBy("_p").count().withColumn("_s", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return own.join(F.broadcast(starts.select("_p", "_s")), "_p").withColumn(to, F.col("_i") + F.col("_s") - 1).drop("_p", "_i", "_s")

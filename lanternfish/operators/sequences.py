@@ -10,38 +10,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def running_best(df: DataFrame, key: str, order: list[str], value: str, to: str = "best") -> DataFrame:
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(to, F.max(value).over(w))
+def running(df: DataFrame, key: str | list[str], order: list[str], chunk: Column, how: str, value: Column, to: str, inclusive: bool = True) -> DataFrame:
+    """Running sum or maximum of ``value`` per key, in two levels, so that no key, however many rows it has, is sorted in one task.
 
+    ``chunk`` grows with the order and cuts a key's rows to pieces (an hour, a range of numbers). Rows are sorted within a chunk only; what a
+    chunk begins with comes from one row per chunk, aggregated before it is shuffled.
+    """
+    keys = [key] if isinstance(key, str) else key
+    total = F.sum if how == "sum" else F.max
+    rows = df.withColumns({"_chunk": chunk, "_value": value})
+    before = rows.groupBy(*keys, "_chunk").agg(total("_value").alias("_all")).withColumn("_before", total("_all").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)))
+    inside = total("_value").over(W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1))
+    out = rows.join(before.drop("_all"), [*keys, "_chunk"]).withColumn("_inside", inside)
+    both = F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0)) if how == "sum" else F.greatest("_before", "_inside")
+    return out.withColumn(to, both).drop("_chunk", "_value", "_before", "_inside")
 
-def streak(df: DataFrame, key: str, order: list[str], bad: Column, to: str = "streak") -> DataFrame:
-    """Length of the run of bad rows that ends at each row; 0 at a good row, which resets it."""
-    w = W.partitionBy(key).orderBy(*order)
-    island = F.sum(F.when(bad, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    marked = df.withColumn("_bad", F.coalesce(bad, F.lit(False))).withColumn("_island", island)
-    run = F.sum(F.col("_bad").cast("int")).over(W.partitionBy(key, "_island").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return marked.withColumn(to, F.when(F.col("_bad"), run).otherwise(0)).drop("_bad", "_island")
 
+def running_best(df: DataFrame, key: str, order: list[str], chunk: Column, value: str, to: str = "best") -> DataFrame:
+    return running(df, key, order, chunk, "max", F.col(value), to)
 
-def until(df: DataFrame, key: str, order: list[str], stop: Column) -> DataFrame:
+
+def streak(df: DataFrame, key: str, order: list[str], chunk: Column, bad: Column, to: str = "streak") -> DataFrame:
+    """Length of the run of bad rows that ends at each row; 0 at a good row, which resets it.
+
+    It is the number of bad rows so far less that number at the last good row, which is its running maximum over good rows.
+    """
+    marked = df.withColumn("_bad", F.coalesce(bad, F.lit(False)).cast("long"))
+    counted = running(marked, key, order, chunk, "sum", F.col("_bad"), "_so_far")
+    reset = running(counted, key, order, chunk, "max", F.when(F.col("_bad") == 0, F.col("_so_far")), "_reset")
+    return reset.withColumn(to, F.col("_so_far") - F.coalesce("_reset", F.lit(0))).drop("_bad", "_so_far", "_reset")
+
+
+def until(df: DataFrame, key: str, order: list[str], chunk: Column, stop: Column) -> DataFrame:
     """Rows of each key up to and with the first at which ``stop`` holds."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("_stops", F.coalesce(F.sum(F.when(stop, 1).otherwise(0)).over(w), F.lit(0))).where("_stops = 0").drop("_stops")
+    return running(df, key, order, chunk, "sum", F.when(stop, 1).otherwise(0), "_stops", inclusive=False).where("_stops = 0").drop("_stops")
 
 
-def depth_capped(df: DataFrame, key: str, order: list[str], amount: str, cap: float) -> DataFrame:
+def depth_capped(df: DataFrame, key: str, order: list[str], chunk: Column, amount: str, cap: float) -> DataFrame:
     """Rows of each key up to the one whose running sum reaches the cap, with ``kept``, that sum."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = df.withColumn("kept", F.sum(amount).over(w))
-    return until(rows, key, order, F.col("kept") >= cap)
+    return until(running(df, key, order, chunk, "sum", F.col(amount), "kept"), key, order, chunk, F.col("kept") >= cap)
 
 
 def trailing_pace(df: DataFrame, key: str, seconds: str, amount: str, window: int, least_dt: int = 20) -> DataFrame:
-    """``per_minute``: growth of ``amount`` over the trailing window of seconds; null if the window is shorter than ``least_dt`` or nothing grew."""
-    w = W.partitionBy(key).orderBy(seconds).rangeBetween(-window, 0)
-    rows = df.withColumn("_dt", F.col(seconds) - F.min(seconds).over(w)).withColumn("_dn", F.col(amount) - F.min(amount).over(w))
-    return rows.withColumn("per_minute", F.when((F.col("_dt") > least_dt) & (F.col("_dn") > 0), F.round(60.0 * F.col("_dn") / F.col("_dt"), 6))).drop("_dt", "_dn")
+    """``per_minute``: growth of ``amount`` over the trailing window of seconds; null if the window is shorter than ``least_dt`` or nothing grew.
+
+    Rows are cut to pieces as long as the window, and each piece also sees the rows of the one before, so a window is whole and no key's rows meet in one task.
+    """
+    piece = F.floor(F.col(seconds) / window)
+    rows = df.withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_piece", piece + F.col("_shift"))
+    w = W.partitionBy(key, "_piece").orderBy(seconds).rangeBetween(-window, 0)
+    rows = rows.withColumn("_dt", F.col(seconds) - F.min(seconds).over(w)).withColumn("_dn", F.col(amount) - F.min(amount).over(w)).where("_shift = 0")
+    return rows.withColumn("per_minute", F.when((F.col("_dt") > least_dt) & (F.col("_dn") > 0), F.round(60.0 * F.col("_dn") / F.col("_dt"), 6))).drop("_dt", "_dn", "_shift", "_piece")
 
 
 def rate_buckets(df: DataFrame, time: str, ok: Column, minutes: int = 5) -> DataFrame:
@@ -78,12 +97,11 @@ def cache_replay(df: DataFrame, key: str, seconds: str, ttl: float) -> DataFrame
     return counted.withColumn("_r", first).withColumn("hit", ~((F.col("_r") == 1) & F.col("hit").isNotNull())).drop("_r")
 
 
-def most_at_once(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, most): the greatest number of intervals of a key that are open at once; one that ends as another starts is closed."""
+def most_at_once(df: DataFrame, key: str, start: str, end: str, chunk: float) -> DataFrame:
+    """(key, most): the greatest number of intervals of a key that are open at once; one that ends as another starts is closed. ``chunk`` is the length of the pieces of time."""
     marks = df.select(key, F.col(start).alias("t"), F.lit(1).alias("d")).unionAll(df.select(key, F.col(end).alias("t"), F.lit(-1).alias("d")))
     moments = marks.groupBy(key, "t").agg(F.sum("d").alias("d"))
-    w = W.partitionBy(key).orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return moments.withColumn("open", F.sum("d").over(w)).groupBy(key).agg(F.max("open").alias("most"))
+    return running(moments, key, ["t"], F.floor(F.col("t") / chunk), "sum", F.col("d"), "open").groupBy(key).agg(F.max("open").alias("most"))
 
 
 def carried_header(df: DataFrame, order: str, header: Column, to: str = "section", key: str | None = None) -> DataFrame:

@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lanternfish.operators.sequences import running
+from lanternfish.session import cut
 
-def index_percentile(df: DataFrame, keys: list[str], value: str, share: float, to: str) -> DataFrame:
-    """The value at place min(n - 1, floor(n share)) of each group in order, without interpolation.
 
-    Equal values are counted first, so what is ranked are distinct values with their cumulative counts.
+def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], buckets: int = 4_096) -> DataFrame:
+    """(keys, _n, one column per place): exact order statistics of each group. A place is counted from 0, an expression of the group's size ``_n``.
+
+    Equal values are counted first. Counts of value ranges show in which range a place lies, and only the values of such ranges are sorted: no group is sorted, or
+    held, as a whole. Nulls are left out.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    place = F.least(F.col("_n") - 1, F.floor(F.col("_n") * share))
-    return counts.withColumn("_upto", upto).join(totals, keys).where(F.col("_upto") > place).groupBy(*keys).agg(F.min(value).alias(to))
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
+    groups = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_c").alias("_n"))
+    bucket = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")) * (buckets - 1)), F.lit(0))
+    ranged = counts.join(groups, keys) if keys else counts.crossJoin(groups)
+    ranged = ranged.withColumn("_b", bucket)
+    sums = ranged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
+    sums = sums.withColumn("_upto", F.sum("_s").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_from", F.col("_upto") - F.col("_s"))
+    holds = [(p >= F.col("_from")) & (p < F.col("_upto")) for p in places.values()]
+    wanted = sums.where(F.array_contains(F.array(*holds), True)).select(*keys, "_b", "_from")
+    near = ranged.join(wanted, [*keys, "_b"])
+    upto = F.col("_from") + F.sum("_c").over(W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    near = near.withColumn("_to", upto)
+    hit = [F.max(F.when((p < F.col("_to")) & (p >= F.col("_to") - F.col("_c")), F.col("_v"))).alias(n) for n, p in places.items()]
+    return near.groupBy(*keys, "_n").agg(*hit)
+
+
+def index_percentile(df: DataFrame, keys: list[str], value: str, share: float, to: str) -> DataFrame:
+    """The value at place min(n - 1, floor(n share)) of each group in order, without interpolation."""
+    return at_places(df, keys, value, {to: F.least(F.col("_n") - 1, F.floor(F.col("_n") * share))}).drop("_n")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column per share): percentiles of each group with linear interpolation."""
+    place = {n: F.lit(q) * (F.col("_n") - 1) for n, q in shares.items()}
+    found = at_places(df, keys, value, {f"{n}_{k}": f(p) for n, p in place.items() for k, f in (("low", F.floor), ("high", F.ceil))})
+    mixed = {n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (p - F.floor(p)) for n, p in place.items()}
+    return found.select(*keys, *[c.alias(n) for n, c in mixed.items()])
 
 
 def threshold_sweep(df: DataFrame, score: str, bad: str, thresholds: list[float], cost: float = 3.0) -> DataFrame:
@@ -32,8 +58,8 @@ def threshold_sweep(df: DataFrame, score: str, bad: str, thresholds: list[float]
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """(auc, positives, negatives) by the rank sum, equal scores sharing their average rank. Ranks come from counts of distinct scores. Null if one class is empty."""
     counts = df.where(f"{score} is not null and {positive} is not null").groupBy(score).agg(F.count("*").alias("n"), F.sum(positive).alias("p"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", before + (F.col("n") + 1) / 2)
+    before = running(counts.withColumn("_one", F.lit(0)), "_one", [score], F.floor(F.col(score) * 1024), "sum", F.col("n"), "before", inclusive=False)
+    ranked = before.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
     area = F.try_divide(F.col("s") - F.col("positives") * (F.col("positives") + 1) / 2, F.col("positives") * F.col("negatives"))
     return sums.select(F.round(area, 6).alias("auc"), "positives", "negatives")

@@ -12,13 +12,15 @@ from lanternfish.plans.registry import query
 from lanternfish.session import table
 
 NOW = 1_740_020_000.0
+HOUR = lambda: F.date_trunc("hour", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY event_type".replace("quantile_cont(value", "quantile_cont(value::DOUBLE"))
 def percentile_table(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles with linear interpolation, mean and maximum."""
-    rows = table(spark, sf, "events").groupBy("event_type")
-    return rows.agg(*[F.percentile("value", q).alias(f"p{round(q * 100)}") for q in (0.5, 0.75, 0.9, 0.95, 0.99)], F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    rows = table(spark, sf, "events")
+    means = rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    return statistics.percentiles(rows, ["event_type"], "value", {f"p{round(q * 100)}": q for q in (0.5, 0.75, 0.9, 0.95, 0.99)}).join(means, "event_type")
 
 
 @query("WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, v[least(len(v) - 1, floor(len(v) * 0.95)::BIGINT) + 1] AS p95 FROM s")
@@ -34,30 +36,30 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS best FROM events")
 def running_best(spark: SparkSession, sf: str) -> DataFrame:
     """High-water mark of each shard."""
-    return sequences.running_best(_pages(spark, sf), "user_id", ["ts", "event_id"], "value").select("user_id", "event_id", "value", "best")
+    return sequences.running_best(_pages(spark, sf), "user_id", ["ts", "event_id"], HOUR(), "value").select("user_id", "event_id", "value", "best")
 
 
 @query("""WITH b AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS best FROM events), f AS (SELECT *, (value < 0.1 * best)::INT AS bad FROM b),
 i AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM f) SELECT user_id, event_id, (CASE WHEN bad = 1 THEN sum(bad) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END)::BIGINT AS decayed FROM i""")
 def decay_streak(spark: SparkSession, sf: str) -> DataFrame:
     """Consecutive values under a tenth of the best so far; a recovery resets the count."""
-    rows = sequences.running_best(_pages(spark, sf), "user_id", ["ts", "event_id"], "value")
-    return sequences.streak(rows, "user_id", ["ts", "event_id"], F.col("value") < 0.1 * F.col("best"), "decayed").select("user_id", "event_id", "decayed")
+    rows = sequences.running_best(_pages(spark, sf), "user_id", ["ts", "event_id"], HOUR(), "value")
+    return sequences.streak(rows, "user_id", ["ts", "event_id"], HOUR(), F.col("value") < 0.1 * F.col("best"), "decayed").select("user_id", "event_id", "decayed")
 
 
 @query("""WITH f AS (SELECT *, (value < 10)::INT AS bad FROM events), i AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM f), s AS (SELECT *, CASE WHEN bad = 1 THEN sum(bad) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS barren FROM i),
 k AS (SELECT *, coalesce(sum((barren >= 4)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM s) SELECT user_id, count(*) AS pages, max(barren)::BIGINT AS longest FROM k WHERE stops = 0 GROUP BY user_id""")
 def barren_streak(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of each shard until four in a row produce nothing."""
-    rows = sequences.streak(_pages(spark, sf), "user_id", ["ts", "event_id"], F.col("value") < 10, "barren")
-    kept = sequences.until(rows, "user_id", ["ts", "event_id"], F.col("barren") >= 4)
+    rows = sequences.streak(_pages(spark, sf), "user_id", ["ts", "event_id"], HOUR(), F.col("value") < 10, "barren")
+    kept = sequences.until(rows, "user_id", ["ts", "event_id"], HOUR(), F.col("barren") >= 4)
     return kept.groupBy("user_id").agg(F.count("*").alias("pages"), F.max("barren").cast("long").alias("longest"))
 
 
 @query("""WITH r AS (SELECT *, sum((value >= 10)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS kept FROM events), k AS (SELECT *, coalesce(sum((kept >= 20)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM r) SELECT user_id, event_id, kept::BIGINT AS kept FROM k WHERE stops = 0""")
 def depth_cap(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of each shard up to the one that reaches the cap on its depth."""
-    return sequences.depth_capped(_pages(spark, sf), "user_id", ["ts", "event_id"], "produced", 20).select("user_id", "event_id", "kept")
+    return sequences.depth_capped(_pages(spark, sf), "user_id", ["ts", "event_id"], HOUR(), "produced", 20).select("user_id", "event_id", "kept")
 
 
 @query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS bucket, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type <> 'error') / 300.0::DOUBLE, 6) AS per_second FROM events GROUP BY 1")
@@ -79,7 +81,8 @@ _SAMPLES = "n AS (SELECT user_id, epoch(ts)::BIGINT AS t, row_number() OVER (PAR
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
     """Progress of each user: seconds and the count so far."""
     seconds = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
-    return table(spark, sf, "events").select("user_id", seconds.alias("t"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("n"))
+    counted = sequences.running(table(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], HOUR(), "sum", F.lit(1), "n")
+    return counted.select("user_id", seconds.alias("t"), F.col("n").cast("long").alias("n"))
 
 
 @query(f"WITH {_SAMPLES}, w AS (SELECT *, t - min(t) OVER p AS dt, n - min(n) OVER p AS dn FROM n WINDOW p AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 36000 PRECEDING AND CURRENT ROW)) SELECT user_id, t, n, CASE WHEN dt > 20 AND dn > 0 THEN round(60.0::DOUBLE * dn / dt, 6) END AS per_minute FROM w".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
@@ -110,7 +113,7 @@ def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH j AS (SELECT worker, created_at AS a, updated_at AS b FROM jobs WHERE worker IS NOT NULL AND updated_at >= created_at), m AS (SELECT worker, t, sum(d) AS d FROM (SELECT worker, a AS t, 1 AS d FROM j UNION ALL SELECT worker, b, -1 FROM j) GROUP BY ALL), o AS (SELECT worker, sum(d) OVER (PARTITION BY worker ORDER BY t) AS n FROM m) SELECT worker, max(n)::BIGINT AS most FROM o GROUP BY worker")
 def worker_concurrency(spark: SparkSession, sf: str) -> DataFrame:
     """Jobs that a worker had open at once."""
-    return sequences.most_at_once(table(spark, sf, "jobs").where("worker is not null and updated_at >= created_at"), "worker", "created_at", "updated_at")
+    return sequences.most_at_once(table(spark, sf, "jobs").where("worker is not null and updated_at >= created_at"), "worker", "created_at", "updated_at", 3600.0)
 
 
 @query("WITH p AS (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 96 LIMIT 49) SELECT o_orderkey, o_totalprice, true AS has_more FROM (SELECT * FROM p ORDER BY o_totalprice DESC, o_orderkey LIMIT 48)")

@@ -58,3 +58,16 @@ def test_rank_statistics(spark):
     assert S.index_percentile(xs, ["k"], "v", 0.95, "m").first().m == 9.0
     sweep = S.threshold_sweep(df, "s", "p", [0.0, 0.2, 0.6]).where("best").collect()
     assert [(r.threshold, r.caught, r.lost) for r in sweep] == [(0.6, 0.5, 0.0)]
+
+
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    data = {"a": rng.exponential(size=501), "b": np.array([4.0] * 9), "c": np.array([1.0, 2.0]), "d": np.round(rng.normal(size=300), 1)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [("a", None)], "k string, v double")
+    shares = {"p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    for r in S.percentiles(df, ["k"], "v", shares).collect():
+        for n, q in shares.items():
+            assert abs(r[n] - np.quantile(data[r.k], q)) < 1e-9
+    for r in S.index_percentile(df, ["k"], "v", 0.95, "x").collect():
+        xs = sorted(data[r.k])
+        assert r.x == xs[min(len(xs) - 1, int(len(xs) * 0.95))]

@@ -11,15 +11,15 @@ def frame(spark, values, names="k string, t int, v double"):
 
 def test_streaks_reset_and_stop(spark):
     rows = frame(spark, [("a", i, v) for i, v in enumerate([1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])])
-    got = [r.streak for r in S.streak(rows, "k", ["t"], F.col("v") == 0).orderBy("t").collect()]
+    got = [r.streak for r in S.streak(rows, "k", ["t"], F.floor(F.col("t") / 3), F.col("v") == 0).orderBy("t").collect()]
     assert got == [0, 1, 2, 0, 1, 2, 3, 0]
-    kept = S.until(S.streak(rows, "k", ["t"], F.col("v") == 0), "k", ["t"], F.col("streak") >= 3)
+    kept = S.until(S.streak(rows, "k", ["t"], F.floor(F.col("t") / 3), F.col("v") == 0), "k", ["t"], F.floor(F.col("t") / 3), F.col("streak") >= 3)
     assert kept.count() == 7
 
 
 def test_depth_cap_keeps_the_crossing_page(spark):
     rows = frame(spark, [("a", i, 4.0) for i in range(5)])
-    assert [r.kept for r in S.depth_capped(rows, "k", ["t"], "v", 10).orderBy("t").collect()] == [4, 8, 12]
+    assert [r.kept for r in S.depth_capped(rows, "k", ["t"], F.floor(F.col("t") / 2), "v", 10).orderBy("t").collect()] == [4, 8, 12]
 
 
 def test_pace_needs_time_and_growth(spark):
@@ -47,10 +47,21 @@ def test_cache_replay(spark):
 
 def test_most_at_once(spark):
     rows = spark.createDataFrame([("a", 0, 10), ("a", 5, 8), ("a", 10, 12), ("b", 0, 1)], "k string, s int, e int")
-    assert dict(map(tuple, S.most_at_once(rows, "k", "s", "e").collect())) == {"a": 2, "b": 1}
+    assert dict(map(tuple, S.most_at_once(rows, "k", "s", "e", 4.0).collect())) == {"a": 2, "b": 1}
 
 
 def test_carried_header(spark):
     rows = spark.createDataFrame(list(enumerate(["# x", "1", "2", "# y", "3"])), "i int, line string")
     header = F.when(F.col("line").startswith("# "), F.substring("line", 3, 99))
     assert [r.section for r in S.carried_header(rows, "i", header).orderBy("i").collect()] == ["x", "x", "x", "y", "y"]
+
+
+def test_two_levels_equal_one(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"), ((F.col("id") * 7919) % 101).alias("v"))
+    for how, inclusive in (("sum", True), ("sum", False), ("max", True)):
+        got = {(r.k, r.t): r.x for r in S.running(rows, "k", ["t"], F.floor(F.col("t") / 37), how, F.col("v"), "x", inclusive).collect()}
+        state = {}
+        for r in rows.orderBy("t").collect():
+            before = state.get(r.k, 0)
+            state[r.k] = before + r.v if how == "sum" else max(before, r.v)
+            assert got[r.k, r.t] == (state[r.k] if inclusive else before)
