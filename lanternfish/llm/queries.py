@@ -23,6 +23,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.pairs(neighbours.most_similar(table(spark, sf, "vectors"), rounds=2))
 
 
+def p3_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy search of the neighbour graph for a twentieth of the ids."""
+    return neighbours.searched(table(spark, sf, "vectors"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.same_looking_pairs(table(spark, sf, "images"), "id", "title")
 
@@ -89,7 +94,7 @@ def p10_types(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p3_found, p4_found, p4_classes, p5_found, p5_title_groups, p5_vector_groups, p6_found, p6_scores, p6_rates, p7_found, p7_weights, p8_ids, p9_mix, p9_shares, p10_found, p10_types)
+    for f in (p1_found, p1_unmatched, p3_found, p3_search, p4_found, p4_classes, p5_found, p5_title_groups, p5_vector_groups, p6_found, p6_scores, p6_rates, p7_found, p7_weights, p8_ids, p9_mix, p9_shares, p10_found, p10_types)
 }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -55,6 +56,20 @@ def test_copies_and_ties(spark):
     assert len(got) == 500 and {r.other for r in got} == {f"c{i:03d}" for i in range(11)}
 
 
+def test_greedy_search(spark):
+    vectors = cluster_vectors()
+    found = N.searched(frame(spark, vectors.items()), every=5).collect()
+    ids, s = cosines(vectors)
+    np.fill_diagonal(s, -2)
+    place, got = {x: i for i, x in enumerate(ids)}, {}
+    for r in found:
+        got.setdefault(r.id, set()).add(r.other)
+    asked = [x for x in ids if zlib.crc32(x.encode()) % 5 == 0]
+    want = {(x, ids[j]) for x in asked for j in np.argsort(-s[place[x]], kind="stable")[:10] if s[place[x], j] >= 0.85}
+    assert len(want) > 50 and sum(b in got.get(a, ()) for a, b in want) >= 0.9 * len(want)
+    assert N.searched(frame(spark, BAD)).count() == 0
+
+
 def test_empty(spark):
     assert N.most_similar(frame(spark, BAD)).count() == 0
     assert D.id_pairs(*D.similar_vectors(frame(spark, BAD))).count() == 0
