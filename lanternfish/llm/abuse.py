@@ -16,8 +16,10 @@ to the earlier example in order of its skeleton.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,7 +50,7 @@ def _table() -> dict[int, str | None]:
     return hidden | {ord(a): b for a, b in zip(*SINGLES, strict=True)}
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def skeleton(text: str) -> str:
     plain = EXTENSION.sub("", text.translate(_table()))
     plain = "".join(c for c in unicodedata.normalize("NFKD", plain.lower()) if not unicodedata.combining(c))
@@ -61,7 +63,6 @@ def skeleton(text: str) -> str:
     return joined if joined == joined[:1] * 3 else REPEATED.sub(r"\1", joined)
 
 
-@lru_cache(maxsize=100_000)
 def grams(text: str) -> tuple[str, ...]:
     edged = f"^{text}$"
     return tuple({edged[i : i + n] for n in SIZES for i in range(len(edged) - n + 1)})
@@ -75,41 +76,48 @@ def parts(title: str | None, tags: str | None) -> dict[str, str]:
 
 
 class Index:
-    """Block-max inverted index of the unit vectors of examples."""
+    """Block-max inverted index of the unit vectors of examples, in flat arrays: one list of all postings and one of all block bounds."""
 
     def __init__(self, texts: list[str], idf: dict[str, float]) -> None:
-        self.texts, self.idf = texts, idf
-        lists: dict[str, list[tuple[int, float]]] = {}
+        self.texts, self.idf, self.rows = texts, idf, {}
+        self.blocks = -(-len(texts) // BLOCK)
+        row, owner, weight = array("l"), array("l"), array("d")
         for i, text in enumerate(texts):
             own = grams(text)
-            norm = np.sqrt(sum(self.weight(g) ** 2 for g in own)) or 1.0
-            for g in own:
-                lists.setdefault(g, []).append((i, self.weight(g) / norm))
-        self.blocks = -(-len(texts) // BLOCK)
-        self.lists = {}
-        for g, pairs in lists.items():
-            at, w = np.array([p[0] for p in pairs], np.int32), np.array([p[1] for p in pairs])
-            block = at // BLOCK
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            self.lists[g] = at, w, block[first], np.maximum.reduceat(w, first)
+            w = [self.weight(g) for g in own]
+            norm = math.sqrt(sum(x * x for x in w)) or 1.0
+            for g, x in zip(own, w, strict=True):
+                row.append(self.rows.setdefault(g, len(self.rows)))
+                owner.append(i)
+                weight.append(x / norm)
+        row, owner, weight = np.array(row, np.int64), np.array(owner, np.int32), np.array(weight, np.float64)
+        order = np.lexsort((owner, row))
+        row, self.at, self.w = row[order], owner[order], weight[order]
+        self.start = np.searchsorted(row, np.arange(len(self.rows) + 1))
+        block = self.at // BLOCK
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.empty(0, np.int64)
+        self.block, self.most = block[first], np.maximum.reduceat(self.w, first) if len(first) else np.empty(0)
+        self.block_start = np.searchsorted(row[first], np.arange(len(self.rows) + 1))
 
     def weight(self, gram: str) -> float:
         return self.idf.get(gram, self.idf[""])
 
     def near(self, text: str, least: float) -> tuple[np.ndarray, np.ndarray]:
         """All examples with at least the cosine ``least``: their places and cosines."""
-        own = grams(text)
-        w = {g: self.weight(g) for g in own}
-        norm = np.sqrt(sum(x * x for x in w.values())) or 1.0
-        hit = [(self.lists[g], w[g] / norm) for g in sorted(own) if g in self.lists]
+        own = sorted(grams(text))
+        w = [self.weight(g) for g in own]
+        norm = math.sqrt(sum(x * x for x in w)) or 1.0
+        hit = [(r, x / norm) for g, x in zip(own, w, strict=True) if (r := self.rows.get(g)) is not None]
         none = np.empty(0, int), np.empty(0)
         if not hit:
             return none
-        bound = np.bincount(np.concatenate([x[2] for x, _ in hit]), np.concatenate([x[3] * q for x, q in hit]), self.blocks)
+        part = [slice(self.block_start[r], self.block_start[r + 1]) for r, _ in hit]
+        bound = np.bincount(np.concatenate([self.block[p] for p in part]), np.concatenate([self.most[p] * q for p, (_, q) in zip(part, hit, strict=True)]), self.blocks)
         alive = bound >= least - 1e-9
         if not alive.any():
             return none
-        at, value = np.concatenate([x[0] for x, _ in hit]), np.concatenate([x[1] * q for x, q in hit])
+        part = [slice(self.start[r], self.start[r + 1]) for r, _ in hit]
+        at, value = np.concatenate([self.at[p] for p in part]), np.concatenate([self.w[p] * q for p, (_, q) in zip(part, hit, strict=True)])
         kept = alive[at // BLOCK]
         cosine = np.bincount(at[kept], value[kept], len(self.texts))
         found = np.flatnonzero(cosine >= least)
@@ -229,7 +237,7 @@ def scores(images: DataFrame, labels: DataFrame, most_examples: int = 20_000, **
                 best = (0.0, None, None, 0.0)
                 for s, text in parts(title, tags).items():
                     if s not in known:
-                        if len(known) > 100_000:
+                        if len(known) > 20_000:
                             known.clear()
                         known[s] = own.rate(s)
                     score, evidence, cosine = known[s]
