@@ -53,6 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lanternfish-{uuid.uuid4().hex}"
+    spark._jvm.System.gc()  # Spark removes the shuffle files of earlier plans only when the driver collects those
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.parquet(path)
