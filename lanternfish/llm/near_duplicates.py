@@ -13,7 +13,6 @@ different vectors or titles, the least); ties do not arise, as every pair above
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +34,11 @@ def title_words(df: DataFrame, column: str, to: str) -> DataFrame:
     return out.withColumn(to, F.filter(to, lambda x, i: (i == 0) | (x != F.get(to, i - 1))))  # linear, where array_distinct compares all strings
 
 
-def _combinations(words: Column, k: int, most: int) -> Column:
-    """Hashes of all k-word combinations of a list of at most ``most`` words; a hash shared by chance only adds a candidate."""
-    picks = [F.struct(F.lit(c[-1] + 1).alias("need"), F.array(*[F.lit(i) for i in c]).alias("at")) for c in combinations(range(most), k)]
-    own = F.filter(F.array(*picks), lambda p: p["need"] <= F.size(words))
-    return F.transform(own, lambda p: F.xxhash64(F.transform(p["at"], lambda i: F.get(words, i))))
+def _combinations(words: Column, k: int, picked: tuple[Column, ...] = ()) -> Column:
+    """Hashes of all k-word combinations of a list, each in the list's order; a hash shared by chance only adds a candidate."""
+    if k == 1:
+        return F.transform(words, lambda x: F.xxhash64(*picked, x))
+    return F.flatten(F.transform(words, lambda x, i: _combinations(F.slice(words, i + 2, F.size(words)), k - 1, (*picked, x))))
 
 
 def similar_sets(sets: DataFrame, threshold: float = 0.8, k: int = 3, rare: int = 64, long_words: int = 40) -> DataFrame:
@@ -53,8 +52,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, k: int = 3, rare: int
     head = F.slice("w", 1, F.col("n") - F.col("least") + k)
     common = F.transform(F.filter(head, lambda x: x["df"] > rare), lambda x: x["word"])
     singles = F.transform(F.filter(head, lambda x: x["df"] <= rare), lambda x: F.xxhash64(x["word"]))
-    most = int(long_words - -(-long_words * threshold // 1) + k) + 1
-    short = rows.where(F.col("n") <= long_words).select("s", "n", F.explode(F.array_union(singles, _combinations(common, k, most))).alias("key"))
+    short = rows.where(F.col("n") <= long_words).select("s", "n", F.explode(F.array_union(singles, _combinations(common, k))).alias("key"))
     first = F.slice("w", 1, F.col("n") - F.col("least") + 1)
     far = rows.where(F.col("n") >= F.floor(long_words * F.lit(threshold)).cast("int")).select("s", "n", F.explode(F.transform(first, lambda x: F.xxhash64(F.lit("long"), x["word"]))).alias("key"))
     index = short.unionByName(far)
@@ -72,8 +70,9 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, k: int = 3, rare: int
 def similar_titles(df: DataFrame, key: str = "id", column: str = "title", threshold: float = 0.8, least_words: int = 8, **how: int) -> tuple[DataFrame, DataFrame]:
     """Members (id, s), and links (a, b) between different word sets s."""
     one = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(key).cast("string").alias("id")).agg(F.min(column).alias("title"))
-    held = title_words(one, "title", "words").where(F.size("words") >= least_words).select("id", "words")
-    held = cut(held.withColumn("s", F.unhex(F.md5(F.array_join("words", " ")))))
+    one = one.where(F.length("title") >= 2 * least_words - 1)  # fewer characters can't hold so many words with something between them
+    held = cut(title_words(one, "title", "words").select("id", "words"))  # written before it is filtered: a filter on the words would compute them twice
+    held = held.where(F.size("words") >= least_words).withColumn("s", F.unhex(F.md5(F.array_join("words", " "))))
     sets = held.groupBy("s").agg(F.first("words").alias("words"))
     return held.select("id", "s"), similar_sets(cut(sets), threshold, **how)
 
@@ -81,8 +80,8 @@ def similar_titles(df: DataFrame, key: str = "id", column: str = "title", thresh
 def similar_vectors(df: DataFrame, key: str = "id", column: str = "vec", threshold: float = 0.95, size: int = 64, rotations: int = 6) -> tuple[DataFrame, DataFrame]:
     """Members (id, s), and links (a, b) between different classes s."""
     members, held = neighbours.nodes(df, key, column, size, rotations)
-    found = vectorblocks.links(held, threshold, None, size, rotations)
-    return members.withColumnRenamed("c", "s"), found.select("a", "b").distinct()
+    found = vectorblocks.verified(vectorblocks.links(held, threshold, None, size, rotations), held, threshold, size)
+    return cut(members).withColumnRenamed("c", "s"), cut(found.select("a", "b"))
 
 
 def id_pairs(members: DataFrame, linked: DataFrame) -> DataFrame:
