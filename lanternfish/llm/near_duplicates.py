@@ -4,7 +4,7 @@ Words: every distinct word set is one representative, so copies cost one row. A
 two sets of Jaccard similarity t share at least k words among the first n - ceil(t n) + k of each. So either they share a
 rare word there, or all the k are frequent: rare words are indexed one by one, frequent ones in combinations of k, and no pair is lost while no
 list is long. Sets of more than ``long_words`` words, whose combinations would be too many, meet by single prefix words in an index of their
-own. Candidates are verified exactly. Vectors: the tokens are those of ``vectorblocks``, indexed in the same manner, with exact verification.
+own. Candidates are verified exactly. Vectors: the tokens are those of ``vectorblocks``, all indexed one by one, with exact verification.
 
 Defined cases: null ids, invalid vectors and titles of fewer than ``least_words`` words are left out; an id counts once (of several
 different vectors or titles, the least); ties do not arise, as every pair above the threshold is given; an empty table gives no rows.

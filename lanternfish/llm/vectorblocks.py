@@ -2,10 +2,9 @@
 
 Every valid vector becomes a 16-bit code of its direction; vectors of one code are one class, so exact and scaled copies, even a third of all
 rows, cost one class. Each class has one token for each of a few random rotations: the coordinate that is largest after it,
-with its sign (cross-polytope hashing). Classes that share a rare token meet in its block; frequent tokens are indexed in
-pairs of tokens instead, so blocks keep their size as the data grow. A block that is still too large is split into pieces, and every pair of
-pieces is compared, which is exact. Blocks are compared by matrix products; nothing is collected to the driver but the token
-counts, of which there are at most rotations x 2 x dimensions.
+with its sign (cross-polytope hashing). Classes that share a token meet in its block, however frequent it is, so which pairs meet
+doesn't depend on the size of the input. A block that is too large is split into pieces, and every pair of pieces is compared, which is
+exact; the comparisons grow with the square of the classes. Blocks are compared by matrix products.
 """
 
 from __future__ import annotations
@@ -75,8 +74,10 @@ def classes(rows: DataFrame, size: int = 64, rotations: int = 6, seed: int = 11)
     return rows.groupBy("c").agg(F.min("code").alias("code")).mapInArrow(run, KEYED)
 
 
-def _keys(held: DataFrame, rare_rows: int, rotations: int) -> Column:
-    """Block keys of a class: its rare tokens, and all pairs of its frequent tokens."""
+def _keys(held: DataFrame, rare_rows: int | None, rotations: int) -> Column:
+    """Block keys of a class: its tokens. With ``rare_rows``, those of at most so many classes, and all pairs of the others."""
+    if rare_rows is None:
+        return F.transform("tokens", lambda t: t.cast("long"))
     counts = held.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > rare_rows).collect()  # at most rotations x 2 x size rows
     frequent = F.array(*[F.lit(r.t) for r in counts]) if counts else F.array().cast("array<int>")
     token = lambda i: F.col("tokens")[i].cast("long")
@@ -88,11 +89,13 @@ def _keys(held: DataFrame, rare_rows: int, rotations: int) -> Column:
     return F.array_compact(F.array(*singles, *pairs))
 
 
-def links(held: DataFrame, floor: float, k: int | None = None, size: int = 64, rotations: int = 6, rare_rows: int = 16_384, piece_rows: int = 16_384) -> DataFrame:
+def links(held: DataFrame, floor: float, k: int | None = None, size: int = 64, rotations: int = 6, rare_rows: int | None = None, piece_rows: int = 16_384) -> DataFrame:
     """(a, b, sim): pairs of classes that meet in a block and have about the cosine ``floor`` or more.
 
     Blocks carry the 8-bit codes, whose cosine is off by about 0.001, so everything from ``SLACK`` below the floor is given; ``verified`` has the cosines of the full codes.
 
+    ``rare_rows`` makes smaller blocks, but loses the pairs that share one frequent token and nothing else; no operator sets it.
+
     Without ``k`` each pair once, a < b. With ``k`` both directions, at most the k best b of each a in a block. A pair can come from several blocks.
     """
     keyed = held.select("c", "light", F.explode(_keys(held, rare_rows, rotations)).alias("key"))

@@ -95,3 +95,13 @@ def test_all_pairs_above_a_threshold(spark, how):
     ids, s = cosines(vectors)
     want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(s >= 0.95), strict=True) if i < j}
     assert len(got & want) >= 0.97 * len(want) and got <= {(ids[i], ids[j]) for i, j in zip(*np.nonzero(s >= 0.9499), strict=True) if i < j}
+
+
+def test_one_shared_token_is_enough_however_frequent(spark):
+    n = 16_390
+    x = np.random.default_rng(3).normal(size=(n, 64))
+    x[1] = x[0] + 0.01 * x[1]
+    light = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    rows = [(i.to_bytes(16, "big"), bytearray(v.tobytes()), [0, *(6 * i + j for j in range(1, 6))]) for i, v in enumerate(light)]
+    held = spark.createDataFrame(rows, "c binary, light binary, tokens array<int>")
+    assert {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in V.links(held, 0.95).collect()} == {(0, 1)}
