@@ -53,27 +53,32 @@ def nodes(df: DataFrame, key: str = "id", column: str = "vec", size: int = 64, r
     return rows.groupBy("id").agg(F.min("c").alias("c")), cut(V.classes(rows, size, rotations))
 
 
-def most_similar(df: DataFrame, key: str = "id", column: str = "vec", k: int = 10, at_least: float = 0.85, slack: float = 0.15, size: int = 64, rotations: int = 6, rounds: int = 6) -> DataFrame:
-    """(id, other, sim, rank): for each id its k most similar other ids with a cosine of at least ``at_least``.
-
-    The graph keeps edges down to ``at_least - slack``, over which the rounds walk; with ``at_least`` -1 it keeps all of the k best.
-    """
-    members, held = nodes(df, key, column, size, rotations)
-    edges = graph(held, k, max(-1.0, at_least - slack), rounds, size=size, rotations=rotations).where(F.col("sim") >= at_least)
+def _ranked(asked: DataFrame, members: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """(id, other, sim, rank): for each asked id (id, c) its k best other ids, those of its own class and those of the classes near it: (a, b, sim)."""
     # The least k + 1 ids of a class are all that can be among the k most similar of any id. They are taken in two steps, as a class may be very large.
     part = W.partitionBy("c", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     heads = members.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
     heads = heads.withColumn("r", F.row_number().over(W.partitionBy("c").orderBy("id"))).where(F.col("r") <= k + 1).select("c", F.col("id").alias("other"))
     copied = heads.groupBy("c").count().where("count > 1").select("c")
     same = heads.join(copied, "c").withColumn("sim", F.lit(1.0).cast("float"))
-    near = edges.join(heads.withColumnRenamed("c", "b"), "b").select(F.col("a").alias("c"), "other", "sim")
+    near = near.join(heads.withColumnRenamed("c", "b"), "b").select(F.col("a").alias("c"), "other", "sim")
     order = [F.col("sim").desc(), F.col("other")]
     listed = same.unionByName(near).withColumn("r", F.row_number().over(W.partitionBy("c").orderBy(*order))).where(F.col("r") <= k + 1).drop("r")
-    found = members.join(listed, "c").where("id <> other")
+    found = asked.join(listed, "c").where("id <> other")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("id", "other", "sim", "rank")
 
 
+def most_similar(df: DataFrame, key: str = "id", column: str = "vec", k: int = 10, at_least: float = 0.85, slack: float = 0.15, size: int = 64, rotations: int = 6, rounds: int = 6) -> DataFrame:
+    """(id, other, sim, rank): for each id its k most similar other ids with a cosine of at least ``at_least``.
+
+    The graph keeps edges down to ``at_least - slack``, over which the rounds walk; with ``at_least`` -1 it keeps all of the k best.
+    """
+    members, held = nodes(df, key, column, size, rotations)
+    edges = graph(held, k, max(-1.0, at_least - slack), rounds, size=size, rotations=rotations).where(F.col("sim") >= at_least)
+    return _ranked(members, members, edges, k)
+
+
 def pairs(neighbours: DataFrame) -> DataFrame:
     """(id_a, id_b): pairs in which one is among the most similar of the other."""
     return neighbours.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
@@ -115,11 +120,9 @@ def search(asked: DataFrame, held: DataFrame, edges: DataFrame, k: int = 10, bea
 
 
 def searched(df: DataFrame, key: str = "id", column: str = "vec", every: int = 20, k: int = 10, at_least: float = 0.85, slack: float = 0.15, size: int = 64, rotations: int = 6) -> DataFrame:
-    """(id, other, sim, rank): for every id whose checksum is divisible by ``every``, the best others of at least ``at_least``, one id for each class of copies."""
+    """(id, other, sim, rank): for every id whose checksum is divisible by ``every``, its k best others of at least ``at_least``, copies of it and of them included."""
     members, held = nodes(df, key, column, size, rotations)
     edges = graph(held, k, max(-1.0, at_least - slack), 2, size=size, rotations=rotations)
     asked = cut(members.where(F.crc32("id") % every == 0))
     found = search(asked.select("c"), held, edges, k, floor=at_least, size=size, rotations=rotations)
-    names = members.groupBy("c").agg(F.min("id").alias("other"))
-    out = asked.join(found.withColumnRenamed("a", "c"), "c").select("id", "b", "sim", "r").join(names.withColumnRenamed("c", "b"), "b")
-    return out.select("id", "other", F.round("sim", 4).alias("sim"), F.col("r").alias("rank"))
+    return _ranked(asked, members, found, k).withColumn("sim", F.round("sim", 4))

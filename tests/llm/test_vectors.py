@@ -70,6 +70,17 @@ def test_greedy_search(spark):
     assert N.searched(frame(spark, BAD)).count() == 0
 
 
+def test_search_gives_copies(spark):
+    x = np.random.default_rng(8).normal(size=64)
+    y = x + 0.1 * np.random.default_rng(9).normal(size=64)
+    vectors = {"a1": x, "a2": 2 * x, "a3": x, "b1": y, "b2": 2 * y, "far": -x}
+    got = {(r.id, r.rank): (r.other, r.sim) for r in N.searched(frame(spark, vectors.items()), every=1, k=4).collect()}
+    assert [got[("a2", r)][0] for r in range(1, 5)] == ["a1", "a3", "b1", "b2"] and got[("a2", 1)][1] == 1
+    assert [got[("b1", r)][0] for r in range(1, 5)] == ["b2", "a1", "a2", "a3"] and ("far", 1) not in got
+    many = {f"c{i:02d}": x * (i + 1) for i in range(30)}
+    assert {(r.id, r.other) for r in N.searched(frame(spark, many.items()), every=1, k=3).collect()} == {(a, b) for a in many for b in [m for m in sorted(many) if m != a][:3]}
+
+
 def test_empty(spark):
     assert N.most_similar(frame(spark, BAD)).count() == 0
     assert D.id_pairs(*D.similar_vectors(frame(spark, BAD))).count() == 0
