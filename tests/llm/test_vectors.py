@@ -11,6 +11,7 @@ import pytest
 from lanternfish.llm import near_duplicates as D
 from lanternfish.llm import neighbours as N
 from lanternfish.llm import vectorblocks as V
+from lanternfish.llm.queries import QUERIES
 from lanternfish.session import table
 
 
@@ -116,3 +117,10 @@ def test_one_shared_token_is_enough_however_frequent(spark):
     rows = [(i.to_bytes(16, "big"), bytearray(v.tobytes()), [0, *(6 * i + j for j in range(1, 6))]) for i, v in enumerate(light)]
     held = spark.createDataFrame(rows, "c binary, light binary, tokens array<int>")
     assert {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in V.links(held, 0.95).collect()} == {(0, 1)}
+
+
+def test_p3_found_leaves_the_rounds_to_the_operator(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(N, "most_similar", lambda df, **how: seen.append(how) or df.selectExpr("id", "id AS other"))
+    QUERIES["p3_found"](spark, "/root/testdata/sf0.001")
+    assert seen == [{}]
