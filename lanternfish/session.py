@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,18 +47,50 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Removes the shuffle files of a query when it ends, instead of when the driver happens to collect its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the rows as a table in the shared folder and reads them back.
 
     A written table survives the loss of any executor, is columnar (later reads prune columns) and has a known size,
-    so the optimizer broadcasts it only where it is really small. The folder is removed with the session's process.
+    so the optimizer broadcasts it only where it is really small. The shuffle files behind it are removed as soon as it is written, as nothing
+    reads them again. The table itself is removed by ``release``, at the end of the ``tables`` scope it was made in, or with the session's process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lanternfish-{uuid.uuid4().hex}"
-    spark._jvm.System.gc()  # Spark removes the shuffle files of earlier plans only when the driver collects those
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    out = spark.read.parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of tables made by ``cut`` that nothing will read again; other frames are left alone."""
+    for t in tables:
+        if (path := getattr(t, "_cut_path", None)) is not None:
+            _remove(t.sparkSession, path)
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[None]:
+    """A scope for one query: the tables that ``cut`` made in it are removed at its end, so a long session doesn't fill the disk. Results have to be taken inside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
