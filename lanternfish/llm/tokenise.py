@@ -10,6 +10,7 @@ encoded whole (the exact merge is O(n log n)); repeated texts and extra columns
 
 from __future__ import annotations
 
+import ast
 import base64
 import heapq
 import json
@@ -36,11 +37,9 @@ def vocabulary_path(name: str = "byte_bpe_50k", folder: str | None = None) -> tu
         return public.path(f"{name}.tiktoken"), public.path(f"{name}.json"), public.PATTERN
     from pathlib import Path
 
-    scope: dict = {}
-    for line in (Path(folder) / "__init__.py").read_text().splitlines():
-        if line.startswith("PATTERN"):
-            exec(line, scope)  # noqa: S102 - a literal of the tokenizer's own package
-    return f"{folder}/{name}.tiktoken", f"{folder}/{name}.json", scope["PATTERN"]
+    lines = (Path(folder) / "__init__.py").read_text().splitlines()
+    pattern = next(line.split("=", 1)[1] for line in lines if line.startswith("PATTERN"))
+    return f"{folder}/{name}.tiktoken", f"{folder}/{name}.json", ast.literal_eval(pattern.strip())
 
 
 class Encoder:
@@ -70,7 +69,7 @@ class Encoder:
         self.descent = {side: self._descents(part[side], rank) for side in part}
         self.longest = max(map(len, self.ids))
         self.words = regex.compile(pattern)
-        self.kept: dict[str, np.ndarray] = {}
+        self.kept: dict[str, bytes] = {}
 
     @staticmethod
     def _descents(part: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -139,15 +138,25 @@ class Encoder:
         return proposed
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        kept = self.kept.__getitem__
+        return [np.frombuffer(b"".join(map(kept, words)), np.int32) for words in self._words(texts)]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Number of tokens of each text."""
+        kept = self.kept.__getitem__
+        return [sum(map(len, map(kept, words))) // 4 for words in self._words(texts)]
+
+    def _words(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, all of which are encoded and kept afterwards."""
         split = [self.words.findall(t) if t else [] for t in texts]
         new = list({w for words in split for w in words if w not in self.kept})
         if len(self.kept) + len(new) > KEPT_WORDS:
             self.kept.clear()
             new = list({w for words in split for w in words})
         if new:
-            self.kept.update(zip(new, (np.array(x, np.int32) for x in self.encode_words(new)), strict=True))
-        empty = np.empty(0, np.int32)
-        return [np.concatenate([self.kept[w] for w in words]) if words else empty for words in split]
+            self.kept.update(zip(new, (np.array(x, np.int32).tobytes() for x in self.encode_words(new)), strict=True))
+        return split
 
 
 @lru_cache(maxsize=2)
@@ -179,7 +188,16 @@ def document_ids(df: DataFrame, key: str = "doc_id", column: str = "text", token
     return with_ids(df.select(F.col(key), F.col(column)), column, "ids", tokenizer, folder).select(key, "ids")
 
 
-def token_counts(df: DataFrame, column: str = "text", to: str = "n_tokens", tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+def token_counts(df: DataFrame, column: str = "text", to: str = "n_tokens", tokenizer: str = "byte_bpe_50k", folder: str | None = None, slice_rows: int = 512) -> DataFrame:
     """Adds ``to``, the number of tokens of ``column``: 0 for null or empty."""
-    out = with_ids(df, column, f"{to}_ids", tokenizer, folder)
-    return out.withColumn(to, F.size(f"{to}_ids")).drop(f"{to}_ids")
+    files = vocabulary_path(tokenizer, folder)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(*files)
+        for whole in batches:
+            for start in range(0, whole.num_rows, slice_rows):
+                batch = whole.slice(start, slice_rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.count(batch.column(at).to_pylist()), pa.int32())], names=[*batch.schema.names, to])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(to, IntegerType())]))
