@@ -5,7 +5,7 @@ documents first; the rest of its budget is a weighted sample without replacement
 key -ln(u) / w, u from a hash of its key and the seed, w from its text quality, and documents are taken in order of their keys while the prefix sum of
 their tokens stays in the budget.
 
-No source is sorted in one task, though one may hold most rows: keys are cut to narrow ranges (their cumulative distribution is known),
+No source is sorted in one task, though one may hold most rows: keys are cut to ranges by their sampled quantiles,
 tokens are summed per range, prefix sums over the ranges give each range its start, and only rows within one range are sorted together.
 
 Defined cases: null sources, sources without a target and targets without documents take no part (a target of a source without tokens makes the total
@@ -24,31 +24,36 @@ from lanternfish.session import cut
 
 
 def sized(documents: DataFrame, targets: DataFrame, key: str = "doc_id", folder: str | None = None) -> DataFrame:
-    """(key, source, n_tokens, quality) of the documents of the target sources. Quality is from 0.1, for what is surely no prose, to 1."""
+    """(key, source, n_tokens, quality) of the documents of the target sources, in one pass over their texts. Quality is from 0.1, for what is surely no prose, to 1."""
     mine = documents.join(F.broadcast(targets.select("source")), "source", "left_semi").select(key, "source", "text")
-    tokens = token_counts(mine, folder=folder).select(key, "source", "n_tokens")
-    quality = text_types(mine, key).groupBy(key).agg(F.max(F.coalesce("p_prose", F.lit(0.0))).alias("p"))
-    return tokens.join(quality, key, "left").select(key, "source", "n_tokens", (0.1 + 0.9 * F.coalesce("p", F.lit(0.0))).alias("quality"))
+    rated = text_types(token_counts(mine, folder=folder), key, keep=("source", "n_tokens"))
+    return rated.select(key, "source", "n_tokens", (0.1 + 0.9 * F.coalesce("p_prose", F.lit(0.0))).alias("quality"))
 
 
 def budgets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, held, budget, epochs, rest): one row per target."""
-    held = rows.groupBy("source").agg(F.sum("n_tokens").alias("held"), F.avg("quality").alias("mean_quality"), F.count("*").alias("docs"))
-    both = targets.join(held, "source", "left").fillna(0, ["held", "docs"])
+    held = rows.groupBy("source").agg(F.sum("n_tokens").alias("held"))
+    both = targets.join(held, "source", "left").fillna(0, ["held"])
     total = both.where("target_share > 0").agg(F.floor(F.min(F.col("max_repeats") * F.col("held") / F.col("target_share"))).alias("total"))
     both = both.crossJoin(F.broadcast(total)).withColumn("budget", F.floor(F.col("target_share") * F.col("total") + 1e-6).cast("long"))
     epochs = F.when(F.col("held") > 0, F.floor(F.col("budget") / F.col("held"))).otherwise(0).cast("long")
     return both.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("held"))
 
 
-def mixed(rows: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 17, rows_per_range: int = 4_096) -> DataFrame:
-    """(key, source, n_tokens, copies): the documents of the mixture and how often each is used."""
-    plan = F.broadcast(cut(budgets(rows, targets)).select("source", "epochs", "rest", "mean_quality", "docs"))
+def ranged(drawn: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """The rows with ``range``: they are partitioned by sampled quantiles of (source, k), so ranges are about equally large whatever the qualities are. Written, as borders are sampled anew when computed."""
+    order = [F.col("source"), F.col("k"), F.col(key)]
+    cutup = drawn.repartitionByRange(ranges, *order) if ranges else drawn.repartitionByRange(*order)
+    return cut(cutup.withColumn("range", F.spark_partition_id()))
+
+
+def mixed(rows: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 17, ranges: int | None = None) -> DataFrame:
+    """(key, source, n_tokens, copies): the documents of the mixture and how often each is used. ``ranges`` is the session's number of shuffle partitions if not given."""
+    plan = F.broadcast(cut(budgets(rows, targets)).select("source", "epochs", "rest"))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(2**52)).cast("double") + 1) / (2.0**52 + 1)
-    drawn = rows.where("n_tokens > 0").join(plan, "source").withColumn("k", -F.log(u) / F.col("quality"))
-    ranges = F.greatest(F.ceil(F.col("docs") / rows_per_range), F.lit(1))
-    drawn = drawn.withColumn("range", F.floor((1 - F.exp(-F.col("k") * F.col("mean_quality"))) * ranges).cast("long"))
-    sums = drawn.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))
+    drawn = rows.where("n_tokens > 0").join(plan, "source").select(key, "source", "n_tokens", "epochs", "rest", (-F.log(u) / F.col("quality")).alias("k"))
+    drawn = ranged(drawn, key, ranges)
+    sums = drawn.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))  # one row per range, and one more per source
     before = F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = drawn.join(sums.withColumn("before", before).drop("tokens"), ["source", "range"])
     inside = F.sum("n_tokens").over(W.partitionBy("source", "range").orderBy("k", key).rowsBetween(W.unboundedPreceding, W.currentRow))

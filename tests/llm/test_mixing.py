@@ -17,9 +17,9 @@ def documents(spark):
     return rows.withColumnRenamed("id", "doc_id").unionAll(spark.createDataFrame([(9001, "x", 10, 1.0), (9002, None, 10, 1.0)], "doc_id long, source string, n_tokens int, quality double"))
 
 
-@pytest.mark.parametrize("rows_per_range", [4096, 50])
-def test_shares_and_caps(documents, targets, rows_per_range):
-    mix = M.mixed(documents, targets, rows_per_range=rows_per_range)
+@pytest.mark.parametrize("ranges", [None, 50])
+def test_shares_and_caps(documents, targets, ranges):
+    mix = M.mixed(documents, targets, ranges=ranges)
     report = {r.source: r for r in M.shares(documents, mix, targets).collect()}
     assert set(report) == {"a", "b", "c"}
     for r in report.values():
@@ -38,8 +38,8 @@ def test_whole_epochs_precede_the_sample(documents, targets):
 
 
 def test_order_equals_a_sort_of_all_keys(documents, targets):
-    one = sorted(map(tuple, M.mixed(documents, targets, rows_per_range=10**9).collect()))
-    assert one == sorted(map(tuple, M.mixed(documents, targets, rows_per_range=7).collect()))
+    one = sorted(map(tuple, M.mixed(documents, targets, ranges=1).collect()))
+    assert one == sorted(map(tuple, M.mixed(documents, targets, ranges=40).collect()))
 
 
 def test_quality_raises_the_chance(documents, targets):
@@ -57,3 +57,10 @@ def test_whole_pipeline_and_edges(spark, targets, cluttered):
     assert mix.where("n_tokens = 0").count() == 0 and mix.where("source is null").count() == 0
     assert M.mixed(sized.limit(0), targets).count() == 0
     assert {r.source: r.used_tokens for r in M.shares(sized.limit(0), M.mixed(sized.limit(0), targets), targets).collect()} == {"a": 0, "b": 0, "c": 0}
+
+
+def test_ranges_are_even_when_qualities_are_mixed(spark):
+    u = (F.pmod(F.xxhash64("doc_id"), F.lit(2**40)) + 1) / 2.0**40
+    rows = spark.range(40_000).withColumnRenamed("id", "doc_id").select("doc_id", F.lit("a").alias("source"), (-F.log(u) / F.when(F.col("doc_id") % 3 == 0, 0.1).otherwise(1.0)).alias("k"))
+    sizes = [r["count"] for r in M.ranged(rows, "doc_id", 16).groupBy("range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 2 * 40_000 / 16
