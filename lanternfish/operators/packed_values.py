@@ -1,7 +1,7 @@
 """Problem 2: several values packed in one field, one row per value with its place.
 
 A field is cut at separators outside quotes. Some legitimate values hold a separator and are sometimes typed without quotes. The dictionary of such
-whole values is learned from the collection itself: values that are quoted somewhere, often enough, and of which at least one part hardly ever stands
+whole values is learned from the collection itself: values that are quoted somewhere, and of which at least one part hardly ever stands
 alone. An automaton finds all of them in a field in one pass, and dynamic programming picks the cover of the field by known values
 and single pieces that leaves the fewest pieces; separators inside a chosen known value are protected.
 
@@ -16,9 +16,12 @@ different fields, the least); null ids are left out; fields of any length are cu
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +39,8 @@ ESCAPE = re.compile(r'""|\\(?:u([0-9a-fA-F]{4})|(.))', re.DOTALL)
 CONTROL = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 VALUES = T.StructType([T.StructField("id", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("quoted", T.BooleanType())])
 
+SPANS = T.StructType([T.StructField("id", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
+
 
 def _unescape(m: re.Match) -> str:
     return chr(int(m[1], 16)) if m[1] else CONTROL.get(m[2], m[2]) if m[2] else '"'
@@ -84,24 +89,32 @@ def _cut(text: str) -> list[tuple[str, bool, int, int]]:
     return out
 
 
-def cover(field: str, known: object) -> list[tuple[str, bool, int, int]]:
-    """The pieces of a field, neighbouring unquoted ones joined where together they are a known whole value.
-
-    ``known`` is an automaton of known values. best[i] is the fewest pieces that cover the first i pieces; ties keep the longer last value.
-    """
+def spans(field: str, known: object) -> list[tuple[int, int]]:
+    """(i, j): the pieces i to j of the field are unquoted and together a value of the automaton ``known``."""
     cuts = pieces(field)
     if known is None or len(cuts) < 2:
-        return cuts
-    inner = _inner(field)
+        return []
     starts, ends = {p[2]: i for i, p in enumerate(cuts) if not p[1]}, {p[3]: i for i, p in enumerate(cuts) if not p[1]}
-    joined: dict[int, list[int]] = {}
-    for end, length in known.iter(inner):
+    found = []
+    for end, length in known.iter(_inner(field)):
         i, j = starts.get(end + 1 - length), ends.get(end + 1)
         if i is not None and j is not None and j > i and not any(p[1] for p in cuts[i : j + 1]):
-            joined.setdefault(j, []).append(i)
-    if not joined:
+            found.append((i, j))
+    return found
+
+
+def cover(field: str, whole: list[tuple[int, int]]) -> list[tuple[str, bool, int, int]]:
+    """The pieces of a field, neighbouring ones joined where a span of ``whole`` says that together they are one value.
+
+    best[i] is the fewest pieces that cover the first i pieces; ties keep the longer last value.
+    """
+    cuts = pieces(field)
+    if not whole:
         return cuts
-    best, step = [0], [0]
+    joined: dict[int, list[int]] = {}
+    for i, j in whole:
+        joined.setdefault(j, []).append(i)
+    inner, best, step = _inner(field), [0], [0]
     for j in range(len(cuts)):
         options = [(best[i] + 1, i) for i in [*joined.get(j, []), j]]
         cost, i = min(options)
@@ -115,44 +128,97 @@ def cover(field: str, known: object) -> list[tuple[str, bool, int, int]]:
     return out[::-1]
 
 
-def _split(fields: DataFrame, dictionary: list[str]) -> DataFrame:
+@lru_cache(maxsize=4)
+def _automaton(name: str, values: Shared) -> object:
+    """The automaton of a broadcast dictionary, built once by each worker; ``name`` tells dictionaries apart."""
+    import ahocorasick
+
+    known = ahocorasick.Automaton()
+    for value in values.broadcast.value:
+        known.add_word(value, len(value))
+    known.make_automaton()
+    return known
+
+
+class Shared:
+    """A broadcast that is equal to any other, so that the name alone is the key of what is kept."""
+
+    def __init__(self, broadcast: Broadcast) -> None:
+        self.broadcast = broadcast
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Shared)
+
+    def __hash__(self) -> int:
+        return 0
+
+
+def _columns(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "integer": pa.int32(), "boolean": pa.bool_()}
+    cols = zip(*rows, strict=True) if rows else ((),) * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.typeName()]) for c, f in zip(cols, schema, strict=True)], names=schema.names)
+
+
+def _split(fields: DataFrame, dictionary: list[str] | None = None) -> DataFrame:
+    """(id, pos, tag, quoted) of the fields (id, field), or (id, field, whole) with spans that are known, or by a dictionary."""
+    name = uuid.uuid4().hex
+    values = Shared(fields.sparkSession.sparkContext.broadcast(dictionary)) if dictionary else None
+    listed = "whole" in fields.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
-        if dictionary:
-            import ahocorasick
-
-            known = ahocorasick.Automaton()
-            for value in dictionary:
-                known.add_word(value, len(value))
-            known.make_automaton()
         for batch in batches:
-            rows = [(i, p + 1, v[0], v[1]) for i, field in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p, v in enumerate(cover(field, known))]
-            cols = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.bool_()), strict=True)], names=VALUES.names)
+            known = _automaton(name, values) if values else None
+            given = batch.column(2).to_pylist() if listed else [None] * batch.num_rows
+            rows = []
+            for i, field, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), given, strict=True):
+                at = [(w["i"], w["j"]) for w in whole or ()] if listed else spans(field, known) if known else []
+                rows += [(i, p + 1, v[0], v[1]) for p, v in enumerate(cover(field, at))]
+            yield _columns(rows, VALUES)
 
     return fields.mapInArrow(run, VALUES)
 
 
-def whole_values(values: DataFrame, least: int = 20, most: int = 50_000) -> list[str]:
-    """Known whole values that hold a separator: quoted ``least`` times or more, with a part that stands alone at most a fourth as often.
+def _spans(fields: DataFrame, dictionary: list[str]) -> DataFrame:
+    """(id, i, j): the spans of each field that are values of the dictionary."""
+    name, values = uuid.uuid4().hex, Shared(fields.sparkSession.sparkContext.broadcast(dictionary))
 
-    ``most`` bounds the model that is sent to the executors, the most frequent first; a value beyond it is cut as the rules say.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = _automaton(name, values)
+            yield _columns([(i, *at) for i, field in zip(*(c.to_pylist() for c in batch.columns), strict=True) for at in spans(field, known)], SPANS)
+
+    return fields.select("id", "field").mapInArrow(run, SPANS)
+
+
+def whole_values(values: DataFrame) -> DataFrame:
+    """(tag): whole values that hold a separator: quoted somewhere, with a part that stands alone at most a fourth as often as the whole is quoted. The rule is relative, so it is the same at any size."""
     counted = values.groupBy("tag", "quoted").count()
-    holding = counted.where("quoted").where(F.col("tag").rlike(SEPARATOR) & (F.col("count") >= least)).select("tag", "count")
+    holding = counted.where("quoted").where(F.col("tag").rlike(SEPARATOR)).select("tag", "count")
     parts = holding.select("tag", "count", F.explode(F.split("tag", SEPARATOR)).alias("part")).withColumn("part", F.trim("part"))
     alone = counted.where(~F.col("tag").rlike(SEPARATOR)).groupBy(F.col("tag").alias("part")).agg(F.sum("count").alias("alone"))
     seen = parts.join(alone, "part", "left").groupBy("tag").agg(F.max("count").alias("n"), F.min(F.coalesce("alone", F.lit(0))).alias("alone"))
-    known = seen.where(F.col("alone") * 4 <= F.col("n"))
-    return [r.tag for r in known.orderBy(F.desc("n"), "tag").limit(most).collect()]
+    return seen.where(F.col("alone") * 4 <= F.col("n")).select("tag")
+
 
+def unpacked(df: DataFrame, key: str = "id", column: str = "tags", letters: int = 4_000_000) -> DataFrame:
+    """(id, pos, tag): every value of every field, with its place from 1.
 
-def unpacked(df: DataFrame, key: str = "id", column: str = "tags", least: int = 20, most: int = 50_000) -> DataFrame:
-    """(id, pos, tag): every value of every field, with its place from 1."""
+    A dictionary of more than about ``letters`` letters is not sent at once: its parts search the fields one after the other, the spans they find are joined to the fields, and
+    the cover is chosen from all of them, so every whole value counts, however many there are.
+    """
     fields = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(key).cast("string").alias("id")).agg(F.min(column).alias("field"))
     fields = cut(fields.where(F.col("field").rlike(r"\S")))
-    dictionary = whole_values(cut(_split(fields, [])), least, most)
-    return _split(fields, dictionary).drop("quoted")
+    known = cut(whole_values(cut(_split(fields))))
+    parts = max(1, -(-(known.agg(F.sum(F.length("tag"))).first()[0] or 0) // letters))
+    chunk = lambda p: sorted(x.tag for x in known.where(F.pmod(F.xxhash64("tag"), F.lit(parts)) == p).collect())  # noqa: E731 - about ``letters`` letters
+    if parts == 1:
+        return _split(fields, chunk(0)).drop("quoted")
+    found = None
+    for p in range(parts):
+        part = cut(_spans(fields, chunk(p)))
+        found = part if found is None else found.unionByName(part)
+    listed = found.groupBy("id").agg(F.collect_list(F.struct("i", "j")).alias("whole"))
+    return _split(fields.join(listed, "id", "left").select("id", "field", "whole")).drop("quoted")
 
 
 def unpacked_several(df: DataFrame, key: str = "id", column: str = "tags") -> DataFrame:

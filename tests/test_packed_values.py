@@ -52,9 +52,25 @@ def test_cover_prefers_known_whole_values():
     for v in ("oil, canvas", "a, b", "b, c, d"):
         known.add_word(v, len(v))
     known.make_automaton()
-    assert [p[0] for p in P.cover("x; oil, canvas; y", known)] == ["x", "oil, canvas", "y"]
-    assert [p[0] for p in P.cover("a, b, c, d", known)] == ["a", "b, c, d"]
-    assert [p[0] for p in P.cover("oil; canvas", known)] == ["oil", "canvas"]
+    cut = lambda field: [p[0] for p in P.cover(field, P.spans(field, known))]
+    assert cut("x; oil, canvas; y") == ["x", "oil, canvas", "y"]
+    assert cut("a, b, c, d") == ["a", "b, c, d"]
+    assert cut("oil; canvas") == ["oil", "canvas"]
+
+
+def test_a_dictionary_in_parts_gives_the_same(spark):
+    """Every known value counts, whether the dictionary is sent at once or in parts."""
+    rows = [(f"q{i}-{k}", f'"left{i}, right{i}", x') for i in range(40) for k in range(8)] + [(f"u{i}", f"y; left{i}, right{i}; left{i + 1}, right{i + 1}") for i in range(39)]
+    df = spark.createDataFrame(rows, "id string, tags string")
+    one, parts = (sorted(map(tuple, P.unpacked(df, letters=n).collect())) for n in (4_000_000, 60))
+    assert one == parts
+    assert [r[2] for r in one if r[0] == "u7"] == ["y", "left7, right7", "left8, right8"]
+
+
+def test_parts_that_stand_alone_are_no_whole_value(spark):
+    rows = [("q", '"red, blue", x'), *[(f"a{i}", "red; blue; x") for i in range(5)], ("u", "red, blue")]
+    df = spark.createDataFrame(rows, "id string, tags string")
+    assert [r.tag for r in P.unpacked(df).where("id = 'u'").orderBy("pos").collect()] == ["red", "blue"]
 
 
 def test_operator_on_a_table(spark):
