@@ -17,9 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lanternfish.session import cut
+
 # Letters that look like a Latin letter, by script. Each pair is the look-alike and the Latin letter it is read as.
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҺH ԀD ԚQ ԜW ӀI аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϲc ϳj"
+ARMENIAN = "ՕO ՍU օo սu հh ոn ցg զq յj"
+CHEROKEE = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎥI ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ"
 OTHER = "ɡg ɩi ɑa ℓl ‐- ‑-"
 # Characters that show nothing; blanks of any kind. Both as classes of Java patterns.
 INVISIBLE = r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠏ㅤﾠ︀-️\x{E0100}-\x{E01EF}\x00-\x08\x0E-\x1B\x7F]"
@@ -31,13 +35,13 @@ MARKS = [chr(c) for c in (*range(0x300, 0x313), 0x327, 0x328)]
 
 def _singles() -> tuple[str, str]:
     """Source and target characters of translate: look-alikes, their accented forms, and characters that differ only in width."""
-    pairs = {p[0]: p[1] for p in f"{CYRILLIC} {GREEK} {OTHER}".split()}
+    pairs = {p[0]: p[1] for p in f"{CYRILLIC} {GREEK} {ARMENIAN} {CHEROKEE} {OTHER}".split()}
     for source, target in list(pairs.items()):
         for mark in MARKS:
             one, other = (unicodedata.normalize("NFC", x + mark) for x in (source, target))
             if len(one) == len(other) == 1:
                 pairs[one] = other
-    for c in (*range(0xFF01, 0xFFF0), 0x3000):  # full and half widths
+    for c in (*range(0xFF01, 0xFFF0), 0x3000, *range(0x1D400, 0x1D800)):  # full and half widths; mathematical letters and digits
         wide = chr(c)
         narrow = unicodedata.normalize("NFKC", wide)
         if len(narrow) == 1 and narrow != wide and unicodedata.category(wide) != "Cn":
@@ -90,14 +94,15 @@ def canonical_values(df: DataFrame, column: str) -> DataFrame:
 def same_looking_pairs(df: DataFrame, key: str, column: str) -> DataFrame:
     """(id_a, id_b): pairs of ids whose values are different strings with one canonical form, smaller id first, each once.
 
-    A key counts once, with its least value. Different strings of a class are paired first, then joined to the ids that hold them;
-    classes of one string, which are nearly all, end before any pair is made. Strings of a class are few, and no group is collected.
+    A key counts once, with its least value. Classes of one string, which are nearly all, end before any pair is made. The different strings of a class are paired
+    as strings, each pair once, and only then joined to the ids that hold them, so ids with equal strings never meet, however many there are.
     """
-    one = df.where(F.col(column).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(column).alias("value"))
-    forms = canonical_values(one, "value")
-    several = forms.groupBy("canonical").agg(F.count("*").alias("n")).where("n > 1").select("canonical")
-    forms = forms.join(several, "canonical")
-    held = one.join(forms, "value").select("canonical", "value", "key")
-    a = held.select("canonical", F.col("value").alias("value_a"), F.col("key").alias("id_a"))
-    b = held.select("canonical", F.col("value").alias("value_b"), F.col("key").alias("id_b"))
-    return a.join(b, "canonical").where("id_a < id_b and value_a <> value_b").select("id_a", "id_b")
+    one = cut(df.where(F.col(column).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(column).alias("value")))
+    shown = cut(one.select("value").distinct().withColumn("shown", mapped(F.col("value"))))
+    classes = shown.groupBy(F.collate("shown", "UNICODE").alias("class")).agg(F.min("shown").alias("canonical"), F.count("*").alias("n")).where("n > 1").select("class", "canonical")
+    several = cut(shown.withColumn("class", F.collate("shown", "UNICODE")).join(classes, "class").select("canonical", "value"))
+    a, b = several.select("canonical", F.col("value").alias("a")), several.select("canonical", F.col("value").alias("b"))
+    strings = a.join(b, "canonical").where("a < b").select("a", "b")
+    held = cut(one.join(several.select("value"), "value"))
+    pairs = strings.join(held.select(F.col("value").alias("a"), F.col("key").alias("x")), "a").join(held.select(F.col("value").alias("b"), F.col("key").alias("y")), "b")
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -41,3 +41,11 @@ def test_canonical_member_is_the_same_for_a_class(spark):
 def test_consistent_form(spark):
     df = spark.createDataFrame([("Ｃａｆｅ́ ",), (None,), ("х",)], "t string")
     assert [r.f for r in L.consistent_form(df, "t", "f").collect()] == ["Café", None, "x"]
+
+
+def test_ids_with_equal_titles_never_meet(spark):
+    """A placeholder of 100,000 ids and one look-alike of it: as many pairs as ids, not their square."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000).select(F.col("id").cast("string"), F.lit("untitled").alias("title")).unionAll(spark.createDataFrame([("x", "untіtled")], "id string, title string"))
+    assert L.same_looking_pairs(df, "id", "title").count() == 100_000
