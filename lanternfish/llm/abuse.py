@@ -1,25 +1,24 @@
 """Problem 6: abusive, hateful or sexually explicit titles and tags, by nearest labelled examples.
 
 A text is its title and each of its tags, as skeletons: letters only, look-alikes and signs typed for letters undone, repeats
-of a letter merged, so spacing and disguises change little. Skeletons are compared by exact TF-IDF cosine of character n-grams; document
-frequencies count every image. The examples are in a block-max inverted index: for each n-gram the greatest weight in each block of examples
-bounds the cosine of all of them, and only blocks whose bound reaches ``least`` are scored. The nearest examples vote, weighted by their
-cosine; the score of an image is that of its worst part, with the nearest unsafe example as evidence.
+of a letter merged, so spacing and disguises change little. Every different skeleton is rated once, however many images have it. Skeletons are compared by exact TF-IDF
+cosine of character n-grams; document frequencies count every part of every image. The examples are in a block-max inverted index: for each n-gram the greatest
+weight in each block of examples bounds the cosine of all of them. A batch of skeletons first adds up the bounds; the postings of a block are read only for those skeletons
+whose bound in it reaches ``least``. The nearest examples vote, weighted by their cosine; the score of an image is that of its worst part, with the nearest unsafe
+example as evidence. ``reliability`` compares scores with held-out ratings.
 
 Raters label images, not parts: in an unsafe image, parts that the other examples rate safe while another part explains the label lose their vote.
 
-The model is fitted on at most ``most_examples`` labelled images (the least hashes of the ids), which bounds what is broadcast; everything
-else covers all rows. Defined cases: null title and tags score 0; images without labels and labels without images are allowed; null ratings are
+The model is fitted on at most ``most_examples`` labelled images (the least hashes of the ids) with ``most_letters`` letters in all, which bounds what is collected and
+broadcast; everything else covers all rows. Defined cases: null title and tags score 0; images without labels and labels without images are allowed; null ratings are
 no ratings; without any example every score is 0; an id counts once (the least title and tags); null ids are left out; texts of any length count whole; equal cosines go
 to the earlier example in order of its skeleton.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +40,9 @@ EXTENSION = re.compile(r"\.(?:jpe?g|png|tiff?|webp|gif)\s*$", re.IGNORECASE)
 APART = re.compile(r"[\s_\-,.;:()\[\]{}/\"“”'’|&+=#]+")
 REPEATED = re.compile(r"(.)\1+")
 SIZES = (3, 4, 5)
-BLOCK = 32
-SCORED = T.StructType([T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("part", T.StringType()), T.StructField("evidence", T.StringType()), T.StructField("cosine", T.DoubleType())])
+BLOCK = 16
+PARTS = T.StructType([T.StructField("id", T.StringType()), T.StructField("s", T.StringType()), T.StructField("part", T.StringType())])
+RATED = T.StructType([T.StructField("s", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.StringType()), T.StructField("cosine", T.DoubleType())])
 
 
 @lru_cache(maxsize=1)
@@ -52,8 +53,11 @@ def _table() -> dict[int, str | None]:
 
 @lru_cache(maxsize=20_000)
 def skeleton(text: str) -> str:
-    plain = EXTENSION.sub("", text.translate(_table()))
-    plain = "".join(c for c in unicodedata.normalize("NFKD", plain.lower()) if not unicodedata.combining(c))
+    if text.isascii():
+        plain = EXTENSION.sub("", text).lower()
+    else:
+        plain = EXTENSION.sub("", text.translate(_table()))
+        plain = "".join(c for c in unicodedata.normalize("NFKD", plain.lower()) if not unicodedata.combining(c))
     out = []
     for token in APART.split(plain):
         if any(c.isalpha() for c in token):
@@ -75,59 +79,73 @@ def parts(title: str | None, tags: str | None) -> dict[str, str]:
     return {s: t for t in texts if len(s := skeleton(t)) > 1}
 
 
+class Grams:
+    """The n-grams of a batch of skeletons as flat arrays: whose they are, their numbers in a vocabulary (-1 if in none) and their weights in unit vectors."""
+
+    def __init__(self, texts: list[str], vocabulary: dict[str, int], idf: np.ndarray) -> None:
+        own = [grams(t) for t in texts]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self.count, self.owner = len(own), np.repeat(np.arange(len(own)), sizes)
+        number = vocabulary.get
+        self.number = np.fromiter((number(g, -1) for gs in own for g in gs), np.int64, int(sizes.sum()))
+        weight = idf[self.number]  # the last is the weight of n-grams that are not in the vocabulary
+        norm = np.sqrt(np.bincount(self.owner, weight * weight, len(own)))
+        self.weight = weight / np.where(norm > 0, norm, 1)[self.owner]
+
+    def only(self, wanted: np.ndarray) -> Grams:
+        """The same batch with the n-grams of the wanted skeletons alone."""
+        out = Grams.__new__(Grams)
+        kept = wanted[self.owner]
+        out.count, out.owner, out.number, out.weight = self.count, self.owner[kept], self.number[kept], self.weight[kept]
+        return out
+
+
+def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all ranges one after the other, and the range of each."""
+    sizes = end - start
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(which)) - (np.cumsum(sizes) - sizes)[which] + start[which], which
+
+
 class Index:
-    """Block-max inverted index of the unit vectors of examples, in flat arrays: one list of all postings and one of all block bounds."""
-
-    def __init__(self, texts: list[str], idf: dict[str, float]) -> None:
-        self.texts, self.idf, self.rows = texts, idf, {}
-        self.blocks = -(-len(texts) // BLOCK)
-        row, owner, weight = array("l"), array("l"), array("d")
-        for i, text in enumerate(texts):
-            own = grams(text)
-            w = [self.weight(g) for g in own]
-            norm = math.sqrt(sum(x * x for x in w)) or 1.0
-            for g, x in zip(own, w, strict=True):
-                row.append(self.rows.setdefault(g, len(self.rows)))
-                owner.append(i)
-                weight.append(x / norm)
-        row, owner, weight = np.array(row, np.int64), np.array(owner, np.int32), np.array(weight, np.float64)
-        order = np.lexsort((owner, row))
-        row, self.at, self.w = row[order], owner[order], weight[order]
-        self.start = np.searchsorted(row, np.arange(len(self.rows) + 1))
+    """Block-max inverted index of the unit vectors of examples, in flat arrays. An entry is an n-gram in a block, with its bound and its range of postings."""
+
+    def __init__(self, texts: list[str], vocabulary: dict[str, int], idf: np.ndarray) -> None:
+        own = Grams(texts, vocabulary, idf)
+        self.size, self.blocks = len(texts), -(-len(texts) // BLOCK)
+        order = np.lexsort((own.owner, own.number))
+        number, self.at, self.weight = own.number[order], own.owner[order], own.weight[order]
         block = self.at // BLOCK
-        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.empty(0, np.int64)
-        self.block, self.most = block[first], np.maximum.reduceat(self.w, first) if len(first) else np.empty(0)
-        self.block_start = np.searchsorted(row[first], np.arange(len(self.rows) + 1))
-
-    def weight(self, gram: str) -> float:
-        return self.idf.get(gram, self.idf[""])
-
-    def near(self, text: str, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """All examples with at least the cosine ``least``: their places and cosines."""
-        own = sorted(grams(text))
-        w = [self.weight(g) for g in own]
-        norm = math.sqrt(sum(x * x for x in w)) or 1.0
-        hit = [(r, x / norm) for g, x in zip(own, w, strict=True) if (r := self.rows.get(g)) is not None]
-        none = np.empty(0, int), np.empty(0)
-        if not hit:
-            return none
-        part = [slice(self.block_start[r], self.block_start[r + 1]) for r, _ in hit]
-        bound = np.bincount(np.concatenate([self.block[p] for p in part]), np.concatenate([self.most[p] * q for p, (_, q) in zip(part, hit, strict=True)]), self.blocks)
+        first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (block[1:] != block[:-1])]) if len(number) else np.empty(0, np.int64)
+        self.block, self.bound = block[first], np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.from_, self.to = first, np.r_[first[1:], len(number)] if len(first) else first
+        self.entries = np.searchsorted(number[first], np.arange(len(vocabulary) + 1))
+
+    def near(self, batch: Grams, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(skeleton, example, cosine) of all pairs with at least the cosine ``least``, in order of skeleton and example."""
+        known = np.flatnonzero(batch.number >= 0)
+        entry, gram = _spread(self.entries[batch.number[known]], self.entries[batch.number[known] + 1])
+        gram = known[gram]
+        place = batch.owner[gram] * self.blocks + self.block[entry]
+        bound = np.bincount(place, batch.weight[gram] * self.bound[entry], batch.count * self.blocks)
         alive = bound >= least - 1e-9
-        if not alive.any():
-            return none
-        part = [slice(self.start[r], self.start[r + 1]) for r, _ in hit]
-        at, value = np.concatenate([self.at[p] for p in part]), np.concatenate([self.w[p] * q for p, (_, q) in zip(part, hit, strict=True)])
-        kept = alive[at // BLOCK]
-        cosine = np.bincount(at[kept], value[kept], len(self.texts))
+        kept = alive[place]  # the postings of all other entries are never read
+        live = np.flatnonzero(alive)
+        number = np.zeros(len(alive), np.int64)
+        number[live] = np.arange(len(live))
+        entry, gram, place = entry[kept], gram[kept], number[place[kept]]
+        posting, which = _spread(self.from_[entry], self.to[entry])
+        at = self.at[posting]
+        cosine = np.bincount(place[which] * BLOCK + at % BLOCK, self.weight[posting] * batch.weight[gram[which]], len(live) * BLOCK)
         found = np.flatnonzero(cosine >= least)
-        return found, cosine[found]
+        owner, block = live[found // BLOCK] // max(self.blocks, 1), live[found // BLOCK] % max(self.blocks, 1)
+        return owner, block * BLOCK + found % BLOCK, cosine[found]
 
 
 class Model:
     """Examples with their unsafe and safe votes. ``doubt`` is the weight of one more safe vote in every score, so that one rating alone decides nothing far."""
 
-    def __init__(self, labelled: list[tuple[float, int, dict[str, str]]], expected: dict[str, float], idf: dict[str, float], least: float = 0.35, k: int = 15, rounds: int = 3, doubt: float = 0.15) -> None:
+    def __init__(self, labelled: list[tuple[float, int, list[str]]], expected: dict[str, float], idf: dict[str, float], least: float = 0.35, k: int = 15, rounds: int = 3, doubt: float = 0.15) -> None:
         self.least, self.k, self.doubt = least, k, doubt
         votes: dict[str, np.ndarray] = {}
         for y, n, own in labelled:
@@ -136,118 +154,163 @@ class Model:
         # A part in many images of which hardly any was rated unsafe is safe: of the others, as many as would have been rated count as safe votes.
         for s, own in votes.items():
             own[1] += expected.get(s, 0.0)
-        texts = sorted(votes)
-        self.whole = Index(texts, idf)
-        place = {s: i for i, s in enumerate(texts)}
-        base = np.array([votes[s] for s in texts]).reshape(-1, 2)
+        self.texts = sorted(votes)
+        self.vocabulary = {g: i for i, g in enumerate(sorted({g for s in self.texts for g in grams(s)}))}
+        self.idf = np.array([idf.get(g, idf[""]) for g in self.vocabulary] + [idf[""]])
+        self.whole = Index(self.texts, self.vocabulary, self.idf)
+        self.place = place = {s: i for i, s in enumerate(self.texts)}
+        base = np.array([votes[s] for s in self.texts]).reshape(-1, 2)
         self.bad, self.good = base[:, 0].copy(), base[:, 1].copy()
-        self._unsafe()
-        near = {s: self.whole.near(s, least) for y, _, own in labelled if y > 0.5 for s in own}
+        near = self.neighbours([s for y, _, own in labelled if y > 0.5 for s in own])
         for _ in range(rounds):
             bad = base[:, 0].copy()
             for y, n, own in labelled:
                 if y <= 0.5 or len(own) < 2:
                     continue
                 # The part to blame is the one with most unsafe, or without safe, examples near it besides this image.
-                blame = {s: (b + 0.05) / (w + 0.1) for s in own for b, w in [self._votes(*near[s], less=(place[s], y * n))]}
+                blame = {s: (b + 0.05) / (w + 0.1) for s in own for b, w in [self._votes(*near[s], less=([place[s]], y * n, 0.0))]}
                 top = max(blame.values())
                 for s, share in blame.items():
                     if share < 0.9 * top:
                         bad[place[s]] -= y * n
             self.bad = np.maximum(bad, 0)
-        self._unsafe()
-
-    def _unsafe(self) -> None:
-        which = np.flatnonzero(self.bad > self.good)
-        self.unsafe = Index([self.whole.texts[i] for i in which], self.whole.idf)
-
-    def _votes(self, at: np.ndarray, cosine: np.ndarray, less: tuple[int, float] | None = None) -> tuple[float, float]:
-        """Unsafe and all votes of the k nearest, weighted by the square of the cosine above the least; without the unsafe vote ``less``."""
+        self.which = np.flatnonzero(self.bad > self.good)
+        self.unsafe = Index([self.texts[i] for i in self.which], self.vocabulary, self.idf)
+
+    def batch(self, texts: list[str]) -> Grams:
+        return Grams(texts, self.vocabulary, self.idf)
+
+    def neighbours(self, texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """The places and cosines of all examples near each text."""
+        out = {}
+        for i in range(0, len(texts), 512):
+            part = texts[i : i + 512]
+            owner, at, cosine = self.whole.near(self.batch(part), self.least)
+            ends = np.searchsorted(owner, np.arange(len(part) + 1))
+            out |= {s: (at[a:b], cosine[a:b]) for s, a, b in zip(part, ends, ends[1:], strict=False)}
+        return out
+
+    def _votes(self, at: np.ndarray, cosine: np.ndarray, less: tuple[list[int], float, float] | None = None) -> tuple[float, float]:
+        """Unsafe and all votes of the k nearest, weighted by the square of the cosine above the least; without the votes of one image: its places, unsafe and safe votes."""
         order = np.lexsort((at, -cosine))[: self.k]
         at, weight = at[order], (cosine[order] - self.least * 0.9) ** 2
-        bad = self.bad[at].copy()
+        bad, good = self.bad[at].copy(), self.good[at].copy()
         if less is not None:
-            bad[at == less[0]] = np.maximum(bad[at == less[0]] - less[1], 0)
+            own = np.isin(at, less[0])
+            bad[own], good[own] = np.maximum(bad[own] - less[1], 0), np.maximum(good[own] - less[2], 0)
         # An example's own ratings count up to a few, so that one frequent safe tag doesn't outvote all others.
-        total = bad + self.good[at]
+        total = bad + good
         trust = np.minimum(total, 4.0)
         share = np.divide(bad, total, out=np.zeros_like(bad), where=total > 0)
         return float((weight * trust * share).sum()), float((weight * trust).sum())
 
-    def rate(self, text: str) -> tuple[float, str | None, float]:
-        """Score, nearest unsafe example and its cosine. Without an unsafe example near, the votes are not needed: the score is 0."""
-        at, cosine = self.unsafe.near(text, self.least)
-        if not len(at):
-            return 0.0, None, 0.0
-        best = int(np.lexsort((at, -cosine))[0])
-        bad, every = self._votes(*self.whole.near(text, self.least))
-        return bad / (every + self.doubt), self.unsafe.texts[at[best]], float(cosine[best])
+    def rate(self, texts: list[str]) -> list[tuple[str, float, str, float]]:
+        """(text, score, nearest unsafe example, its cosine) of the texts with an unsafe example near; the score of all others is 0, and their votes are not needed."""
+        batch = self.batch(texts)
+        owner, at, cosine = self.unsafe.near(batch, self.least)
+        if not len(owner):
+            return []
+        wanted = np.zeros(len(texts), bool)
+        wanted[owner] = True
+        all_owner, all_at, all_cosine = self.whole.near(batch.only(wanted), self.least)
+        out = []
+        for i in np.flatnonzero(wanted):
+            a, b = np.searchsorted(owner, [i, i + 1])
+            best = a + int(np.lexsort((at[a:b], -cosine[a:b]))[0])
+            c, d = np.searchsorted(all_owner, [i, i + 1])
+            bad, every = self._votes(all_at[c:d], all_cosine[c:d])
+            out.append((texts[i], bad / (every + self.doubt), self.texts[self.which[at[best]]], float(cosine[best])))
+        return out
+
+    def held_out(self, labelled: list[tuple[float, int, list[str]]]) -> list[tuple[float, float]]:
+        """(score, label) of each labelled image when its own ratings count nothing."""
+        near = self.neighbours(sorted({s for *_, own in labelled for s in own}))
+        out = []
+        for y, n, own in labelled:
+            less = [self.place[s] for s in own if s in self.place]
+            sums = [self._votes(*near[s], less=(less, y * n, (1 - y) * n)) for s in own]
+            out.append((max([b / (w + self.doubt) for b, w in sums], default=0.0), y))
+        return out
+
+
+def image_parts(images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images (id), their parts (id, s, part) and the different skeletons (s, n) with the number of images that have them. Texts are cut and brought to skeletons once."""
+    one = cut(images.where("id is not null").groupBy(F.col("id").cast("string").alias("id")).agg(F.min("title").alias("title"), F.min("tags").alias("tags")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2_048):
+                batch = whole.slice(start, 2_048)
+                rows = [(i, s, t) for i, title, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s, t in parts(title, tags).items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=PARTS.names)
+
+    held = cut(one.select("id", "title", "tags").mapInArrow(run, PARTS))
+    return one.select("id"), held, cut(held.groupBy("s").agg(F.count("*").alias("n")))
 
-def _frequencies(texts: DataFrame, wanted: set[str]) -> tuple[int, dict[str, int]]:
-    """Number of images, and in how many each wanted n-gram, or whole part after =, occurs. The result has at most as many rows as the model has of these."""
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+def _frequencies(skeletons: DataFrame, wanted: set[str]) -> dict[str, int]:
+    """In how many parts of images each wanted n-gram occurs. The result has at most as many rows as the model has n-grams."""
+    shared = skeletons.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, rows = shared.value, Counter(), 0
+        known, count = shared.value, Counter()
         for batch in batches:
-            for title, tags in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = parts(title, tags)
-                count.update({g for s in own for g in grams(s) if g in known})
-                count.update(f"={s}" for s in own if f"={s}" in known)
-            rows += batch.num_rows
-        count[""] = rows
+            for s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for g in known.intersection(grams(s)):
+                    count[g] += n
         yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["gram", "n"])
 
-    found = dict(map(tuple, texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n")).collect()))
-    return found.pop("", 0), found
+    return dict(map(tuple, skeletons.select("s", "n").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n")).collect()))
 
 
-def fit(texts: DataFrame, labels: DataFrame, most_examples: int = 20_000, rarest: float = 0.0005, **how: float) -> Model | None:
-    """The model from ratings (id, unsafe) of the texts (id, title, tags). N-grams rarer than the share ``rarest`` of all images weigh as if they were not."""
-    rated = labels.where("id is not null and unsafe is not null").groupBy("id").agg(F.avg("unsafe").alias("y"), F.count("*").alias("n"))
-    chosen = texts.join(rated, "id").orderBy(F.xxhash64("id"), "id").limit(most_examples).collect()
-    labelled = [(float(r.y), int(r.n), parts(r.title, r.tags)) for r in sorted(chosen, key=lambda r: r.id)]
-    wanted = {g for _, _, own in labelled for s in own for g in (*grams(s), f"={s}")}
-    if not wanted:
+def fit(one: DataFrame, held: DataFrame, skeletons: DataFrame, labels: DataFrame, most_examples: int = 20_000, most_letters: int = 2_000_000, rarest: float = 0.0005, **how: float) -> tuple[Model, list[tuple[float, int, list[str]]]] | None:
+    """The model from ratings (id, unsafe) of the images, and what it was fitted on. N-grams rarer than the share ``rarest`` of all images weigh as if they were not."""
+    rated = labels.where("id is not null and unsafe is not null").groupBy(F.col("id").cast("string").alias("id")).agg(F.avg("unsafe").alias("y"), F.count("*").alias("n"))
+    sized = held.join(rated, "id").groupBy("id", "y", "n").agg(F.sum(F.length("s")).alias("letters")).orderBy(F.xxhash64("id"), "id").limit(most_examples)
+    upto = F.sum("letters").over(W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, W.currentRow))  # over at most most_examples rows
+    chosen = sized.withColumn("upto", upto).where(F.col("upto") <= most_letters).select("id", "y", "n")
+    rows = held.join(F.broadcast(chosen), "id").groupBy("id", "y", "n").agg(F.sort_array(F.collect_list("s")).alias("own")).collect()
+    labelled = [(float(r.y), int(r.n), list(r.own)) for r in sorted(rows, key=lambda r: r.id)]
+    texts = {s for *_, own in labelled for s in own}
+    if not texts:
         return None
-    total, count = _frequencies(texts, wanted)
-    held = {g[1:]: n for g, n in count.items() if g.startswith("=")}
-    rated_parts = Counter(s for _, _, own in labelled for s in own)
-    rated_share = len(labelled) / max(total, 1)
-    least = max(1.0, rarest * total)
-    idf = {g: float(np.log(1 + total / max(n, least))) for g, n in count.items() if not g.startswith("=")}
-    return Model(labelled, {s: max(n - rated_parts[s], 0) * rated_share for s, n in held.items()}, idf | {"": float(np.log(1 + total / least))}, **how)
+    counts = _frequencies(skeletons, {g for s in texts for g in grams(s)})
+    examples = skeletons.sparkSession.createDataFrame([(s,) for s in sorted(texts)], "s string")
+    frequent = dict(map(tuple, skeletons.join(F.broadcast(examples), "s").select("s", "n").collect()))
+    total = one.count()
+    own = Counter(s for *_, parts_ in labelled for s in parts_)
+    rated_share, least = len(labelled) / max(total, 1), max(1.0, rarest * total)
+    idf = {g: float(np.log(1 + total / max(n, least))) for g, n in counts.items()}
+    return Model(labelled, {s: max(n - own[s], 0) * rated_share for s, n in frequent.items()}, idf | {"": float(np.log(1 + total / least))}, **how), labelled
 
 
-def scores(images: DataFrame, labels: DataFrame, most_examples: int = 20_000, **how: float) -> DataFrame:
+def scores(images: DataFrame, labels: DataFrame, **how: float) -> DataFrame:
     """(id, score, part, evidence, cosine): one row per image id, with its worst part and the unsafe example nearest to it."""
-    one = images.where("id is not null").groupBy("id").agg(F.min("title").alias("title"), F.min("tags").alias("tags"))
-    one = cut(one)
-    model = fit(one, labels, most_examples, **how)
-    if model is None:
+    one, held, skeletons = image_parts(images)
+    fitted = fit(one, held, skeletons, labels, **how)
+    if fitted is None:
         return one.select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("part"), F.lit(None).cast("string").alias("evidence"), F.lit(0.0).alias("cosine"))
-    shared = images.sparkSession.sparkContext.broadcast(model)
+    shared = images.sparkSession.sparkContext.broadcast(fitted[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value, {}
-        for batch in batches:
-            rows = []
-            for key, title, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                best = (0.0, None, None, 0.0)
-                for s, text in parts(title, tags).items():
-                    if s not in known:
-                        if len(known) > 20_000:
-                            known.clear()
-                        known[s] = own.rate(s)
-                    score, evidence, cosine = known[s]
-                    if score > best[0]:
-                        best = (score, text, evidence, cosine)
-                rows.append((key, *best))
-            cols = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.string(), pa.string(), pa.float64()), strict=True)], names=SCORED.names)
-
-    return one.select("id", "title", "tags").mapInArrow(run, SCORED)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1_024):
+                rows = shared.value.rate(whole.column(0).slice(start, 1_024).to_pylist())
+                cols = zip(*rows, strict=True) if rows else ((),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.string(), pa.float64()), strict=True)], names=RATED.names)
+
+    rated = cut(skeletons.select("s").mapInArrow(run, RATED))
+    worst = held.join(rated, "s").groupBy("id").agg(F.max_by(F.struct("score", "part", "evidence", "cosine"), F.struct("score", F.hash("s"))).alias("w"))
+    return one.join(worst, "id", "left").select("id", F.coalesce("w.score", F.lit(0.0)).alias("score"), "w.part", "w.evidence", F.coalesce("w.cosine", F.lit(0.0)).alias("cosine"))
+
+
+def reliability(images: DataFrame, labels: DataFrame, borders: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), **how: float) -> DataFrame:
+    """(at_least, images, mean_score, unsafe_share): of the labelled images whose score without their own ratings lies from one border to the next, how many are unsafe."""
+    spark = images.sparkSession
+    fitted = fit(*image_parts(images), labels, **how)
+    rows = [] if fitted is None else fitted[0].held_out(fitted[1])
+    binned = [(max(b for b in borders if s >= b), s, float(y > 0.5)) for s, y in rows]
+    return spark.createDataFrame(binned, "at_least double, score double, unsafe double").groupBy("at_least").agg(F.count("*").alias("images"), F.round(F.avg("score"), 3).alias("mean_score"), F.round(F.avg("unsafe"), 3).alias("unsafe_share"))
 
 
 def flagged(images: DataFrame, labels: DataFrame, threshold: float = 0.4, **how: float) -> DataFrame:

@@ -51,19 +51,42 @@ def test_no_labels_and_no_rows(data):
 def test_block_max_search_is_exact():
     r = random.Random(3)
     texts = sorted({"".join(r.choices("abcde", k=r.randint(4, 12))) for _ in range(300)})
-    idf = {g: r.uniform(0.5, 5) for t in texts for g in A.grams(t)} | {"": 6.0}
-    index = A.Index(texts, idf)
-    for q in ["".join(r.choices("abcdef", k=9)) for _ in range(40)]:
-        own = A.grams(q)
-        norm = np.sqrt(sum(index.weight(g) ** 2 for g in own))
-        want = {}
+    idf = {g: r.uniform(0.5, 5) for t in texts for g in A.grams(t)}
+    vocabulary = {g: i for i, g in enumerate(sorted(idf))}
+    weights = np.array([idf[g] for g in vocabulary] + [6.0])
+    weight = lambda g: idf.get(g, 6.0)
+    index = A.Index(texts, vocabulary, weights)
+    asked = ["".join(r.choices("abcdef", k=9)) for _ in range(40)] + ["zz"]
+    want = {}
+    for q, text in enumerate(asked):
+        own = A.grams(text)
+        norm = np.sqrt(sum(weight(g) ** 2 for g in own))
         for i, t in enumerate(texts):
             other = A.grams(t)
-            c = sum(index.weight(g) ** 2 for g in set(own) & set(other)) / norm / np.sqrt(sum(index.weight(g) ** 2 for g in other))
+            c = sum(weight(g) ** 2 for g in set(own) & set(other)) / norm / np.sqrt(sum(weight(g) ** 2 for g in other))
             if c >= 0.3:
-                want[i] = c
-        at, cosine = index.near(q, 0.3)
-        assert {int(i): pytest.approx(c) for i, c in zip(at, cosine, strict=True)} == want
+                want[q, i] = c
+    owner, at, cosine = index.near(A.Grams(asked, vocabulary, weights), 0.3)
+    assert {(int(q), int(i)): pytest.approx(c) for q, i, c in zip(owner, at, cosine, strict=True)} == want
+    assert len(A.Index([], vocabulary, weights).near(A.Grams(asked, vocabulary, weights), 0.3)[0]) == 0
+
+
+def test_postings_of_dead_blocks_are_not_read(monkeypatch):
+    texts = sorted(f"{w}{i:03d}x" for w in ("abcdefgh", "mnopqrst") for i in range(200))
+    vocabulary = {g: i for i, g in enumerate(sorted({g for t in texts for g in A.grams(t)}))}
+    index = A.Index(texts, vocabulary, np.ones(len(vocabulary) + 1))
+    read = []
+    plain = A._spread
+    monkeypatch.setattr(A, "_spread", lambda a, b: read.append(int((b - a).sum())) or plain(a, b))
+    index.near(A.Grams(["abcdefgh"], vocabulary, np.ones(len(vocabulary) + 1)), 0.5)
+    held = sum(int((index.to - index.from_)[index.entries[vocabulary[g]] : index.entries[vocabulary[g] + 1]].sum()) for g in A.grams("abcdefgh") if g in vocabulary)
+    assert read[1] <= held
+
+
+def test_reliability(data):
+    bins = A.reliability(*data).collect()
+    assert sum(b.images for b in bins) == 120
+    assert all(b.unsafe_share > 0.9 for b in bins if b.at_least >= 0.5) and all(b.unsafe_share < 0.1 for b in bins if b.at_least < 0.3)
 
 
 def test_skeletons():
