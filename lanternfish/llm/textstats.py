@@ -188,25 +188,29 @@ def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tup
 def text_types(df: DataFrame, key: str = "doc_id", column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The statistics of each document with ``p_prose`` and ``p_type``, the posteriors of prose and of ``text_type``, the likeliest of prose, list, table and junk, or empty."""
     stats = cut(statistics(df, key, column, keep))
-    votes = _votes(stats)
-    patterns = stats.where("n_lines > 0").groupBy(*[v.alias(f"v{i}") for i, v in enumerate(votes)]).count().collect()  # at most the product of the numbers of votes, however many documents
-    prior, rates = learn([(tuple(r[:-1]), r[-1]) for r in sorted(map(tuple, patterns))])
-    logs = []
-    for t in range(len(TYPES)):
-        score = F.lit(float(prior[t]))
-        for vote, rate in zip(votes, rates, strict=True):
-            score = score + F.element_at(F.array(*[F.lit(float(x)) for x in rate[:, t]]), vote + 1)
-        logs.append(score)
-    out = stats.withColumn("_log", F.array(*logs)).withColumn("_top", F.array_max("_log"))
-    out = out.withColumn("_p", F.transform("_log", lambda x: F.exp(x - F.col("_top")))).withColumn("_all", F.aggregate("_p", F.lit(0.0), lambda a, x: a + x))
-    blank, p = (F.col("n_lines") == 0) & (F.col("n_chars") == 0), [F.get("_p", F.lit(t)) / F.col("_all") for t in range(len(TYPES))]
-    nothing = F.col("n_lines") == 0  # markup or blanks without a line to vote on
-    junk = p[3] + p[4]
-    best = F.greatest(p[0], p[1], p[2], junk)
-    kind = F.when(blank, "empty").when(nothing, "junk").when(p[0] >= best, "prose").when(p[1] >= best, "list").when(p[2] >= best, "table").otherwise("junk")
-    of = lambda x, none: F.when(~blank, F.when(nothing, none).otherwise(F.round(x, 6)))
-    out = out.withColumns({"p_prose": of(p[0], 0.0), "p_type": of(best, 1.0), "text_type": kind})
-    return out.drop("_log", "_top", "_p", "_all")
+    # A pattern of votes as one number; each vote is a digit of its own base.
+    sizes = [len(rules) + 1 for rules in VOTES]
+    strides = np.cumprod([1, *sizes[:-1]]).tolist()
+    code = F.lit(0)
+    for vote, stride in zip(_votes(stats), strides, strict=True):
+        code = code + vote * stride
+    coded = stats.withColumn("_code", F.when(F.col("n_lines") > 0, code))
+    counts = sorted(map(tuple, coded.where("_code is not null").groupBy("_code").count().collect()))  # at most the product of the numbers of votes, however many documents
+    patterns = [(tuple(c // stride % size for stride, size in zip(strides, sizes, strict=True)), n) for c, n in counts]
+    prior, rates = learn(patterns)
+    rows = []
+    for (number, _), (pattern, _) in zip(counts, patterns, strict=True):
+        p = np.exp((log := prior + sum(r[v] for v, r in zip(pattern, rates, strict=True))) - log.max())
+        prose, list_, table, junk, repeated = (p / p.sum()).tolist()
+        kinds = {"prose": prose, "list": list_, "table": table, "junk": junk + repeated}
+        best = max(kinds, key=lambda k: kinds[k])
+        rows.append((number, round(prose, 6), round(kinds[best], 6), best))
+    posteriors = df.sparkSession.createDataFrame(rows, "_code int, p_prose double, p_type double, text_type string")
+    out = coded.join(F.broadcast(posteriors), "_code", "left")
+    # Without a line to vote on, a text is empty, or junk if it is nothing but markup and blanks.
+    blank, nothing = F.col("n_chars") == 0, F.col("_code").isNull()
+    fill = {"p_prose": F.when(nothing & ~blank, 0.0).otherwise(F.col("p_prose")), "p_type": F.when(nothing & ~blank, 1.0).otherwise(F.col("p_type")), "text_type": F.when(nothing & blank, "empty").when(nothing, "junk").otherwise(F.col("text_type"))}
+    return out.withColumns(fill).drop("_code")
 
 
 def not_prose(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
