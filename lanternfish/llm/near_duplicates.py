@@ -3,8 +3,9 @@
 Words: every distinct word set is one representative, so copies cost one row. A set's words are ordered from the rarest to the most frequent;
 two sets of Jaccard similarity t share at least k words among the first n - ceil(t n) + k of each. So either they share a
 rare word there, or all the k are frequent: rare words are indexed one by one, frequent ones in combinations of k, and no pair is lost while no
-list is long. Sets of more than ``long_words`` words, whose combinations would be too many, meet by single prefix words in an index of their
-own. Candidates are verified exactly. Vectors: the tokens are those of ``vectorblocks``, all indexed one by one, with exact verification.
+list is long. Sets of more than ``long_words`` words would have too many combinations of k: theirs are all the words of a class of tokens. With more classes than two similar sets can differ in
+words, some class holds the same words in both (``class_combinations``), so long sets meet by combinations too, and none is lost. Candidates are
+verified exactly. Vectors: the tokens and tables are those of ``vectorblocks``, with exact verification.
 
 Defined cases: null ids, invalid vectors and titles of fewer than ``least_words`` words are left out; an id counts once (of several
 different vectors or titles, the least); ties do not arise, as every pair above the threshold is given; an empty table gives no rows.
@@ -41,6 +42,24 @@ def _combinations(words: Column, k: int, picked: tuple[Column, ...] = ()) -> Col
     return F.flatten(F.transform(words, lambda x, i: _combinations(F.slice(words, i + 2, F.size(words)), k - 1, (*picked, x))))
 
 
+def class_combinations(rows: DataFrame, threshold: float) -> DataFrame:
+    """(s, n, key) of sets (s, n, words): the words of each class of tokens, as one key.
+
+    Sizes are cut to levels, each 1 / threshold times the one before, so similar sets are of one level or of neighbouring ones and meet in the group of the lower. Similar sets of
+    a group differ in at most ``differ`` words, each of which changes one class. Of ``differ + spare`` classes at least ``spare`` are therefore equal in both. Empty classes give no keys,
+    but a set with ``spare`` empty classes or more, which few have, gets one key for all of these.
+    """
+    step = 1 / threshold
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step)) + 1e-9)
+    rows = rows.select("s", "n", "words", F.explode(F.array(level, level - 1)).alias("g"))
+    rows = rows.withColumn("differ", F.floor((step - 1) * F.pow(F.lit(step), F.col("g") + 1) + 1e-6)).withColumn("spare", 4 + F.floor(F.col("differ") / 5)).withColumn("classes", F.col("differ") + F.col("spare"))
+    each = rows.select("s", "n", "g", "spare", "classes", F.explode("words").alias("word")).withColumn("class", F.pmod(F.xxhash64("g", "word"), F.col("classes")))
+    filled = each.groupBy("s", "n", "g", "spare", "classes", "class").agg(F.bit_xor(F.xxhash64("word")).alias("x"))
+    keys = filled.select("s", "n", F.xxhash64(F.lit("class"), "g", "class", "x").alias("key"))
+    bare = filled.groupBy("s", "n", "g", "spare", "classes").agg(F.count("*").alias("held")).where(F.col("classes") - F.col("held") >= F.col("spare"))
+    return keys.unionByName(bare.select("s", "n", F.xxhash64(F.lit("bare"), "g").alias("key")))
+
+
 def similar_sets(sets: DataFrame, threshold: float = 0.8, k: int = 3, rare: int = 64, long_words: int = 40) -> DataFrame:
     """(a, b), a < b: pairs of the rows (s, words) of distinct word sets with a Jaccard similarity of at least ``threshold``."""
     n = F.size("words")
@@ -53,8 +72,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, k: int = 3, rare: int
     common = F.transform(F.filter(head, lambda x: x["df"] > rare), lambda x: x["word"])
     singles = F.transform(F.filter(head, lambda x: x["df"] <= rare), lambda x: F.xxhash64(x["word"]))
     short = rows.where(F.col("n") <= long_words).select("s", "n", F.explode(F.array_union(singles, _combinations(common, k))).alias("key"))
-    first = F.slice("w", 1, F.col("n") - F.col("least") + 1)
-    far = rows.where(F.col("n") >= F.floor(long_words * F.lit(threshold)).cast("int")).select("s", "n", F.explode(F.transform(first, lambda x: F.xxhash64(F.lit("long"), x["word"]))).alias("key"))
+    far = class_combinations(rows.where(F.col("n") >= F.floor(long_words * F.lit(threshold)).cast("int")), threshold)
     index = short.unionByName(far)
     x, y = index.select("key", F.col("s").alias("a"), F.col("n").alias("na")), index.select("key", F.col("s").alias("b"), F.col("n").alias("nb"))
     fits = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.col("a") < F.col("b"))
@@ -77,10 +95,10 @@ def similar_titles(df: DataFrame, key: str = "id", column: str = "title", thresh
     return held.select("id", "s"), similar_sets(cut(sets), threshold, **how)
 
 
-def similar_vectors(df: DataFrame, key: str = "id", column: str = "vec", threshold: float = 0.95, size: int = 64, rotations: int = 6) -> tuple[DataFrame, DataFrame]:
+def similar_vectors(df: DataFrame, key: str = "id", column: str = "vec", threshold: float = 0.95, size: int = 64, block_rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
     """Members (id, s), and links (a, b) between different classes s."""
-    members, held = neighbours.nodes(df, key, column, size, rotations)
-    found = vectorblocks.verified(vectorblocks.links(held, threshold, None, size, rotations), held, threshold, size)
+    members, held, plan = neighbours.nodes(df, key, column, size, threshold, block_rows)
+    found = vectorblocks.verified(vectorblocks.links(held, threshold, None, size, plan), held, threshold, size)
     return cut(members).withColumnRenamed("c", "s"), cut(found.select("a", "b"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternfish.llm import vectorblocks as V
-from lanternfish.session import cut
+from lanternfish.session import cut, release
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -27,10 +27,11 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= k).drop("r").dropDuplicates(["a", "b"])
 
 
-def graph(held: DataFrame, k: int = 10, floor: float = -1.0, rounds: int = 2, least_new: float = 0.002, size: int = 64, rotations: int = 6) -> DataFrame:
-    """(a, b, sim): for each class a up to k similar classes b, those below the cosine ``floor`` left out."""
-    met = cut(V.verified(V.links(held, floor, k, size, rotations), held, floor, size))
+def graph(held: DataFrame, k: int = 10, floor: float = -1.0, rounds: int = 6, least_new: float = 0.002, size: int = 64, plan: V.Plan = V.Plan(6, 1)) -> DataFrame:
+    """(a, b, sim): for each class a up to k similar classes b, those below the cosine ``floor`` left out. Rounds end when at most the share ``least_new`` of the edges is new."""
+    met = cut(V.verified(V.links(held, floor, k, size, plan), held, floor, size))
     edges = cut(_best(met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")), k))
+    release(met)
     for _ in range(rounds):
         out = edges.select(F.col("a").alias("m"), F.col("b").alias("n"), "sim")
         back = edges.select(F.col("b").alias("m"), F.col("a").alias("n"), "sim")
@@ -38,19 +39,20 @@ def graph(held: DataFrame, k: int = 10, floor: float = -1.0, rounds: int = 2, le
         one, two = around.select("a", F.col("b").alias("x")), around.select("a", F.col("b").alias("y"))
         pairs = one.join(two, "a").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         known = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = V.similarity(pairs.join(known, ["a", "b"], "left_anti"), held, floor, size)
-        new = cut(new)
-        fresh, before = new.count(), edges.count()
+        new = cut(V.similarity(pairs.join(known, ["a", "b"], "left_anti"), held, floor, size))
+        fresh, before, old = new.count(), edges.count(), edges
         edges = cut(_best(edges.unionByName(new).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")), k))
+        release(old, new)
         if fresh <= least_new * before:
             break
     return edges
 
 
-def nodes(df: DataFrame, key: str = "id", column: str = "vec", size: int = 64, rotations: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Members (id, c), one row per id, and classes (c, code, tokens)."""
+def nodes(df: DataFrame, key: str = "id", column: str = "vec", size: int = 64, similarity: float = 0.85, block_rows: int = 16_384) -> tuple[DataFrame, DataFrame, V.Plan]:
+    """Members (id, c), one row per id, classes (c, code, light, tokens), and the plan of their tables for pairs of the given cosine."""
     rows = cut(V.coded(df, key, column, size))
-    return rows.groupBy("id").agg(F.min("c").alias("c")), cut(V.classes(rows, size, rotations))
+    plan = V.planned(rows.count(), similarity, size, block_rows=block_rows)
+    return rows.groupBy("id").agg(F.min("c").alias("c")), cut(V.classes(rows, size, plan.rotations)), plan
 
 
 def _ranked(asked: DataFrame, members: DataFrame, near: DataFrame, k: int) -> DataFrame:
@@ -69,13 +71,13 @@ def _ranked(asked: DataFrame, members: DataFrame, near: DataFrame, k: int) -> Da
     return ranked.where(F.col("rank") <= k).select("id", "other", "sim", "rank")
 
 
-def most_similar(df: DataFrame, key: str = "id", column: str = "vec", k: int = 10, at_least: float = 0.85, slack: float = 0.15, size: int = 64, rotations: int = 6, rounds: int = 6) -> DataFrame:
+def most_similar(df: DataFrame, key: str = "id", column: str = "vec", k: int = 10, at_least: float = 0.85, slack: float = 0.15, size: int = 64, rounds: int = 6, block_rows: int = 16_384) -> DataFrame:
     """(id, other, sim, rank): for each id its k most similar other ids with a cosine of at least ``at_least``.
 
     The graph keeps edges down to ``at_least - slack``, over which the rounds walk; with ``at_least`` -1 it keeps all of the k best.
     """
-    members, held = nodes(df, key, column, size, rotations)
-    edges = graph(held, k, max(-1.0, at_least - slack), rounds, size=size, rotations=rotations).where(F.col("sim") >= at_least)
+    members, held, plan = nodes(df, key, column, size, max(at_least, 0.7), block_rows)
+    edges = graph(held, k, max(-1.0, at_least - slack), rounds, size=size, plan=plan).where(F.col("sim") >= at_least)
     return _ranked(members, members, edges, k)
 
 
@@ -84,21 +86,21 @@ def pairs(neighbours: DataFrame) -> DataFrame:
     return neighbours.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-def _entries(held: DataFrame, size: int, rotations: int, per_query: int) -> DataFrame:
-    """(c, key): combinations of tokens, of as many tokens as keep the chance meetings of a query few."""
+def _entries(held: DataFrame, size: int, per_query: int, tokens: int = 6) -> DataFrame:
+    """(c, key): combinations of the first ``tokens`` tokens, of as many as keep the chance meetings of a query few."""
     n = held.count()
-    m = next((m for m in range(1, rotations) if n / (2 * size) ** m * comb(rotations, m) <= per_query), rotations - 1)
-    keys = [F.xxhash64(*[F.col("tokens")[i] for i in c]) for c in combinations(range(rotations), m)]
+    m = next((m for m in range(1, tokens) if n / (2 * size) ** m * comb(tokens, m) <= per_query), tokens - 1)
+    keys = [F.xxhash64(*[F.col("tokens")[i] for i in c]) for c in combinations(range(tokens), m)]
     return held.select("c", F.explode(F.array(*keys)).alias("key"))
 
 
-def search(asked: DataFrame, held: DataFrame, edges: DataFrame, k: int = 10, beam: int = 40, hops: int = 4, floor: float = -1.0, size: int = 64, rotations: int = 6, per_query: int = 64) -> DataFrame:
+def search(asked: DataFrame, held: DataFrame, edges: DataFrame, k: int = 10, beam: int = 40, hops: int = 4, floor: float = -1.0, size: int = 64, per_query: int = 64) -> DataFrame:
     """(a, b, sim, r): for each asked class (c) its k best others, by greedy search of the graph.
 
     A search starts from classes that share a combination of tokens with it (of a key's classes at most ``per_query``; they only begin the walk). Each hop follows all edges, in both directions, of
     the best ``beam`` classes so far, and the walk ends when a hop finds nothing new for any search.
     """
-    keyed = _entries(held, size, rotations, per_query)
+    keyed = _entries(held, size, per_query)
     part = W.partitionBy("key", F.pmod(F.xxhash64("c"), F.lit(16))).orderBy("c")
     starts = keyed.withColumn("r", F.row_number().over(part)).where(F.col("r") <= per_query)
     starts = starts.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("c"))).where(F.col("r") <= per_query).select("key", F.col("c").alias("b"))
@@ -114,15 +116,16 @@ def search(asked: DataFrame, held: DataFrame, edges: DataFrame, k: int = 10, bea
         new = cut(V.similarity(onward, held, floor, size))
         if not new.take(1):
             break
-        seen = seen.unionByName(new)
+        seen, old = seen.unionByName(new), best
         best = cut(_best(seen, beam))
+        release(old)
     return best.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("sim").desc(), "b"))).where(F.col("r") <= k)
 
 
-def searched(df: DataFrame, key: str = "id", column: str = "vec", every: int = 20, k: int = 10, at_least: float = 0.85, slack: float = 0.15, size: int = 64, rotations: int = 6) -> DataFrame:
+def searched(df: DataFrame, key: str = "id", column: str = "vec", every: int = 20, k: int = 10, at_least: float = 0.85, slack: float = 0.15, size: int = 64, **how: int) -> DataFrame:
     """(id, other, sim, rank): for every id whose checksum is divisible by ``every``, its k best others of at least ``at_least``, copies of it and of them included."""
-    members, held = nodes(df, key, column, size, rotations)
-    edges = graph(held, k, max(-1.0, at_least - slack), 2, size=size, rotations=rotations)
+    members, held, plan = nodes(df, key, column, size, max(at_least, 0.7))
+    edges = graph(held, k, max(-1.0, at_least - slack), size=size, plan=plan)
     asked = cut(members.where(F.crc32("id") % every == 0))
-    found = search(asked.select("c"), held, edges, k, floor=at_least, size=size, rotations=rotations)
+    found = search(asked.select("c"), held, edges, k, floor=at_least, size=size, **how)
     return _ranked(asked, members, found, k).withColumn("sim", F.round("sim", 4))

@@ -1,16 +1,18 @@
 """Candidate blocks of similar vectors, for problems 3 and 5.
 
 Every valid vector becomes a 16-bit code of its direction; vectors of one code are one class, so exact and scaled copies, even a third of all
-rows, cost one class. Each class has one token for each of a few random rotations: the coordinate that is largest after it,
-with its sign (cross-polytope hashing). Classes that share a token meet in its block, however frequent it is, so which pairs meet
-doesn't depend on the size of the input. A block that is too large is split into pieces, and every pair of pieces is compared, which is
-exact; the comparisons grow with the square of the classes. Blocks are compared by matrix products.
+rows, cost one class. A class has one token for each of some random rotations: the coordinate that is largest after it, with its sign (cross-polytope hashing). A table
+joins as many tokens to one key as keep the mean block below ``block_rows``, so blocks don't grow with the collection, and there are as many tables as keep the chance
+that a similar pair meets what it is with single tokens (``planned``): recall doesn't depend on the size of the input, and comparisons grow in proportion to it. Classes that share
+a key meet in its block, however frequent it is; a block that is too large is split into pieces, and every pair of pieces is compared, which is exact. Blocks are
+compared by matrix products.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from math import ceil, log1p
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,33 @@ def coded(df: DataFrame, key: str = "id", column: str = "vec", size: int = 64) -
     return rows.mapInArrow(run, CODED).withColumn("c", F.unhex(F.md5("code")))
 
 
+class Plan(NamedTuple):
+    """Tables of a collection: how many, and how many tokens each of their keys joins."""
+
+    tables: int
+    joined: int
+
+    @property
+    def rotations(self) -> int:
+        return self.tables * self.joined
+
+
+def collision(similarity: float, size: int, samples: int = 20_000, seed: int = 5) -> float:
+    """The share of rotations under which two vectors of the given cosine have the same token, by simulation."""
+    random = np.random.default_rng(seed)
+    x = random.normal(size=(samples, size))
+    y = similarity * x + (1 - similarity**2) ** 0.5 * random.normal(size=(samples, size))
+    every, a, b = np.arange(samples), np.abs(x).argmax(axis=1), np.abs(y).argmax(axis=1)
+    return float(((a == b) & ((x[every, a] > 0) == (y[every, b] > 0))).mean())
+
+
+def planned(rows: int, similarity: float, size: int = 64, tables: int = 6, block_rows: int = 16_384) -> Plan:
+    """The plan of a collection: of ``tables`` tables while single tokens keep the mean block small; otherwise of so many that a pair of the given cosine misses all of them no oftener."""
+    joined = next(m for m in range(1, 64) if rows <= block_rows * (2 * size) ** m)
+    p = collision(similarity, size)
+    return Plan(tables if joined == 1 else ceil(tables * log1p(-p) / log1p(-(p**joined))), joined)
+
+
 def classes(rows: DataFrame, size: int = 64, rotations: int = 6, seed: int = 11) -> DataFrame:
     """(c, code, light, tokens): one row per class; light is the code in 8 bits. Copies are merged on the map side first."""
 
@@ -74,31 +103,21 @@ def classes(rows: DataFrame, size: int = 64, rotations: int = 6, seed: int = 11)
     return rows.groupBy("c").agg(F.min("code").alias("code")).mapInArrow(run, KEYED)
 
 
-def _keys(held: DataFrame, rare_rows: int | None, rotations: int) -> Column:
-    """Block keys of a class: its tokens. With ``rare_rows``, those of at most so many classes, and all pairs of the others."""
-    if rare_rows is None:
+def _keys(plan: Plan) -> Column:
+    """The keys of a class, one of each table."""
+    if plan.joined == 1:
         return F.transform("tokens", lambda t: t.cast("long"))
-    counts = held.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > rare_rows).collect()  # at most rotations x 2 x size rows
-    frequent = F.array(*[F.lit(r.t) for r in counts]) if counts else F.array().cast("array<int>")
-    token = lambda i: F.col("tokens")[i].cast("long")
-    if not counts:
-        return F.transform("tokens", lambda t: t.cast("long"))
-    common = [F.array_contains(frequent, F.col("tokens")[i]) for i in range(rotations)]
-    singles = [F.when(~common[i], token(i)) for i in range(rotations)]
-    pairs = [F.when(common[i] & common[j], (token(i) + 1) * 1_000_000 + token(j)) for i, j in combinations(range(rotations), 2)]
-    return F.array_compact(F.array(*singles, *pairs))
+    return F.array(*[F.xxhash64(*[F.get("tokens", F.lit(t * plan.joined + i)) for i in range(plan.joined)]) for t in range(plan.tables)])
 
 
-def links(held: DataFrame, floor: float, k: int | None = None, size: int = 64, rotations: int = 6, rare_rows: int | None = None, piece_rows: int = 16_384) -> DataFrame:
+def links(held: DataFrame, floor: float, k: int | None = None, size: int = 64, plan: Plan = Plan(6, 1), piece_rows: int = 16_384) -> DataFrame:
     """(a, b, sim): pairs of classes that meet in a block and have about the cosine ``floor`` or more.
 
     Blocks carry the 8-bit codes, whose cosine is off by about 0.001, so everything from ``SLACK`` below the floor is given; ``verified`` has the cosines of the full codes.
 
-    ``rare_rows`` makes smaller blocks, but loses the pairs that share one frequent token and nothing else; no operator sets it.
-
     Without ``k`` each pair once, a < b. With ``k`` both directions, at most the k best b of each a in a block. A pair can come from several blocks.
     """
-    keyed = held.select("c", "light", F.explode(_keys(held, rare_rows, rotations)).alias("key"))
+    keyed = held.select("c", "light", F.explode(_keys(plan)).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > piece_rows).select("key", F.ceil(F.col("count") / piece_rows).cast("int").alias("pieces"))
     if hot.take(1):
         own = F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int")

@@ -34,6 +34,27 @@ def test_equals_brute_force(spark, cluttered, how):
     assert got == brute(sets)
 
 
+def test_long_titles_equal_brute_force(spark):
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    sets = {}
+    for i in range(120):
+        base = r.sample(vocabulary, r.randint(30, 150)) if i % 3 == 0 else list(sets[f"t{i - i % 3:03d}"])
+        edits = r.randint(0, len(base) // 8)
+        sets[f"t{i:03d}"] = base[edits:] + r.sample(vocabulary, r.randint(0, len(base) // 10))
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in sets.items()], "id string, title string")
+    assert len(brute(sets)) > 60
+    for rare in (64, 0):
+        assert {tuple(x) for x in D.id_pairs(*D.similar_titles(df, rare=rare)).collect()} == brute(sets)
+
+
+def test_a_hot_word_of_long_titles_makes_no_long_list(spark):
+    """All sets share a word; keys are the words of a class of tokens together, so no key holds them all."""
+    rows = spark.range(2_000).select(F.col("id").alias("s"), F.lit(60).alias("n"), F.concat(F.array(F.lit("the")), F.transform(F.sequence(F.lit(1), F.lit(59)), lambda i: F.concat(F.col("id"), F.lit("-"), i))).alias("words"))
+    longest = D.class_combinations(rows, 0.8).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert longest < 2_000 / 4
+
+
 def test_words(spark):
     rows = [("The <b>Old</b> Mill, ｎｏ. 7_b&amp;c.JPEG",), ("x.tar.png ",), (None,), ("",), ("<i></i>.gif",)]
     got = [r.w for r in D.title_words(spark.createDataFrame(rows, "title string"), "title", "w").collect()]

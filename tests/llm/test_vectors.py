@@ -99,16 +99,34 @@ def test_full_graph_recall_on_given_vectors(spark):
     assert hits >= 0.9 * 10 * len(ids)
 
 
-@pytest.mark.parametrize("how", [{}, {"rare_rows": 8}, {"rare_rows": 8, "piece_rows": 3}, {"piece_rows": 5}])
-def test_all_pairs_above_a_threshold(spark, how):
+@pytest.mark.parametrize("block_rows", [16_384, 2])
+@pytest.mark.parametrize("piece_rows", [16_384, 5])
+def test_all_pairs_above_a_threshold(spark, block_rows, piece_rows):
     vectors = cluster_vectors()
-    members, held = N.nodes(frame(spark, vectors.items()))
-    got = {tuple(r) for r in D.id_pairs(members.withColumnRenamed("c", "s"), V.verified(V.links(held, 0.95, **how), held, 0.95).select("a", "b")).collect()}
+    members, held, plan = N.nodes(frame(spark, vectors.items()), similarity=0.95, block_rows=block_rows)
+    assert plan.joined == (1 if block_rows > 600 else 2) and plan.tables >= 6
+    got = {tuple(r) for r in D.id_pairs(members.withColumnRenamed("c", "s"), V.verified(V.links(held, 0.95, plan=plan, piece_rows=piece_rows), held, 0.95).select("a", "b")).collect()}
     ids, s = cosines(vectors)
     want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(s >= 0.95), strict=True) if i < j}
     assert len(got & want) >= 0.97 * len(want) and got <= {(ids[i], ids[j]) for i, j in zip(*np.nonzero(s >= 0.9499), strict=True) if i < j}
 
 
+@pytest.mark.parametrize("similarity", [0.85, 0.95])
+def test_a_pair_meets_as_often_at_any_size(similarity):
+    """As tokens join, tables are added: the chance to miss all of them never grows, while mean blocks stay small."""
+    p = V.collision(similarity, 64)
+    for rows in (10**3, 10**6, 10**8, 10**10, 10**12):
+        plan = V.planned(rows, similarity)
+        assert (1 - p**plan.joined) ** plan.tables <= (1 - p) ** 6 + 1e-9 and rows / 128**plan.joined <= 16_384
+
+
+def test_recall_of_the_graph_with_joined_tokens(spark):
+    vectors = cluster_vectors()
+    got = {tuple(r) for r in N.pairs(N.most_similar(frame(spark, vectors.items()), block_rows=2)).collect()}
+    want = expected_pairs(vectors)
+    assert len(got & want) >= 0.97 * len(want)
+
+
 def test_one_shared_token_is_enough_however_frequent(spark):
     n = 16_390
     x = np.random.default_rng(3).normal(size=(n, 64))
