@@ -67,29 +67,53 @@ def skeleton(text: str) -> str:
     return joined if joined == joined[:1] * 3 else REPEATED.sub(r"\1", joined)
 
 
-def grams(text: str) -> tuple[str, ...]:
-    edged = f"^{text}$"
-    return tuple({edged[i : i + n] for n in SIZES for i in range(len(edged) - n + 1)})
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, number): the different n-grams of each text with its borders, as numbers of 48 bits, in order of text and number. A number shared by chance counts as the same n-gram."""
+    edged = [f"^{t}$" for t in texts]
+    sizes = np.fromiter(map(len, edged), np.int64, len(edged))
+    points = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner, keys = np.repeat(np.arange(len(edged)), sizes), []
+    for n in SIZES:
+        last = len(points) - n + 1
+        if last < 1:
+            continue
+        h = np.full(last, n, np.uint64)
+        for i in range(n):
+            h = (h ^ points[i : i + last]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = owner[:last] == owner[n - 1 :]
+        keys.append((owner[:last][inside].astype(np.uint64) << np.uint64(48)) | (h[inside] >> np.uint64(16)))
+    keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+    return (keys >> np.uint64(48)).astype(np.int64), keys & np.uint64(2**48 - 1)
+
+
+def _found(vocabulary: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The place of each number in the sorted vocabulary; -1 if it is not there."""
+    if not len(vocabulary):
+        return np.full(len(number), -1)
+    at = np.minimum(np.searchsorted(vocabulary, number), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == number, at, -1)
 
 
 def parts(title: str | None, tags: str | None) -> dict[str, str]:
     """The skeletons of title and tags, each with the text it comes from."""
-    texts = [title] if title and title.strip() else []
-    texts += [p[0] for p in pieces(tags)] if tags and tags.strip() else []
-    return {s: t for t in texts if len(s := skeleton(t)) > 1}
+    out = {}
+    if title and len(s := skeleton.__wrapped__(title)) > 1:  # titles hardly ever repeat, tags do and are kept
+        out[s] = title
+    if tags:
+        out |= {s: p[0] for p in pieces(tags) if len(s := skeleton(p[0])) > 1}
+    return out
 
 
 class Grams:
     """The n-grams of a batch of skeletons as flat arrays: whose they are, their numbers in a vocabulary (-1 if in none) and their weights in unit vectors."""
 
-    def __init__(self, texts: list[str], vocabulary: dict[str, int], idf: np.ndarray) -> None:
-        own = [grams(t) for t in texts]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        self.count, self.owner = len(own), np.repeat(np.arange(len(own)), sizes)
-        number = vocabulary.get
-        self.number = np.fromiter((number(g, -1) for gs in own for g in gs), np.int64, int(sizes.sum()))
+    def __init__(self, texts: list[str], vocabulary: np.ndarray, idf: np.ndarray) -> None:
+        self.count = len(texts)
+        self.owner, number = grams(texts)
+        self.number = _found(vocabulary, number)
         weight = idf[self.number]  # the last is the weight of n-grams that are not in the vocabulary
-        norm = np.sqrt(np.bincount(self.owner, weight * weight, len(own)))
+        norm = np.sqrt(np.bincount(self.owner, weight * weight, len(texts)))
         self.weight = weight / np.where(norm > 0, norm, 1)[self.owner]
 
     def only(self, wanted: np.ndarray) -> Grams:
@@ -110,7 +134,7 @@ def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Index:
     """Block-max inverted index of the unit vectors of examples, in flat arrays. An entry is an n-gram in a block, with its bound and its range of postings."""
 
-    def __init__(self, texts: list[str], vocabulary: dict[str, int], idf: np.ndarray) -> None:
+    def __init__(self, texts: list[str], vocabulary: np.ndarray, idf: np.ndarray) -> None:
         own = Grams(texts, vocabulary, idf)
         self.size, self.blocks = len(texts), -(-len(texts) // BLOCK)
         order = np.lexsort((own.owner, own.number))
@@ -145,7 +169,7 @@ class Index:
 class Model:
     """Examples with their unsafe and safe votes. ``doubt`` is the weight of one more safe vote in every score, so that one rating alone decides nothing far."""
 
-    def __init__(self, labelled: list[tuple[float, int, list[str]]], expected: dict[str, float], idf: dict[str, float], least: float = 0.35, k: int = 15, rounds: int = 3, doubt: float = 0.15) -> None:
+    def __init__(self, labelled: list[tuple[float, int, list[str]]], expected: dict[str, float], vocabulary: np.ndarray, idf: np.ndarray, least: float = 0.35, k: int = 15, rounds: int = 3, doubt: float = 0.15) -> None:
         self.least, self.k, self.doubt = least, k, doubt
         votes: dict[str, np.ndarray] = {}
         for y, n, own in labelled:
@@ -155,8 +179,7 @@ class Model:
         for s, own in votes.items():
             own[1] += expected.get(s, 0.0)
         self.texts = sorted(votes)
-        self.vocabulary = {g: i for i, g in enumerate(sorted({g for s in self.texts for g in grams(s)}))}
-        self.idf = np.array([idf.get(g, idf[""]) for g in self.vocabulary] + [idf[""]])
+        self.vocabulary, self.idf = vocabulary, idf
         self.whole = Index(self.texts, self.vocabulary, self.idf)
         self.place = place = {s: i for i, s in enumerate(self.texts)}
         base = np.array([votes[s] for s in self.texts]).reshape(-1, 2)
@@ -248,19 +271,31 @@ def image_parts(images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return one.select("id"), held, cut(held.groupBy("s").agg(F.count("*").alias("n")))
 
 
-def _frequencies(skeletons: DataFrame, wanted: set[str]) -> dict[str, int]:
-    """In how many parts of images each wanted n-gram occurs. The result has at most as many rows as the model has n-grams."""
-    shared = skeletons.sparkSession.sparkContext.broadcast(wanted)
+def _vocabulary(texts: list[str]) -> np.ndarray:
+    """The different n-grams of all texts, in order."""
+    return np.unique(np.concatenate([grams(texts[i : i + 4_096])[1] for i in range(0, len(texts), 4_096)]))
+
+
+def _frequencies(skeletons: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """In how many parts of images each n-gram of the vocabulary occurs. The result has at most as many rows as the vocabulary."""
+    shared = skeletons.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shared.value, Counter()
-        for batch in batches:
-            for s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for g in known.intersection(grams(s)):
-                    count[g] += n
-        yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["gram", "n"])
+        known = shared.value
+        counts = np.zeros(len(known), np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4_096):
+                batch = whole.slice(start, 4_096)
+                owner, number = grams(batch.column(0).to_pylist())
+                at = _found(known, number)
+                counts += np.bincount(at[at >= 0], batch.column(1).to_numpy()[owner[at >= 0]], len(known)).astype(np.int64)
+        hit = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit])], names=["at", "n"])
 
-    return dict(map(tuple, skeletons.select("s", "n").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n")).collect()))
+    out = np.zeros(len(vocabulary))
+    for at, n in skeletons.select("s", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        out[at] = n
+    return out
 
 
 def fit(one: DataFrame, held: DataFrame, skeletons: DataFrame, labels: DataFrame, most_examples: int = 20_000, most_letters: int = 2_000_000, rarest: float = 0.0005, **how: float) -> tuple[Model, list[tuple[float, int, list[str]]]] | None:
@@ -274,14 +309,15 @@ def fit(one: DataFrame, held: DataFrame, skeletons: DataFrame, labels: DataFrame
     texts = {s for *_, own in labelled for s in own}
     if not texts:
         return None
-    counts = _frequencies(skeletons, {g for s in texts for g in grams(s)})
+    vocabulary = _vocabulary(sorted(texts))
+    counts = _frequencies(skeletons, vocabulary)
     examples = skeletons.sparkSession.createDataFrame([(s,) for s in sorted(texts)], "s string")
     frequent = dict(map(tuple, skeletons.join(F.broadcast(examples), "s").select("s", "n").collect()))
     total = one.count()
     own = Counter(s for *_, parts_ in labelled for s in parts_)
     rated_share, least = len(labelled) / max(total, 1), max(1.0, rarest * total)
-    idf = {g: float(np.log(1 + total / max(n, least))) for g, n in counts.items()}
-    return Model(labelled, {s: max(n - own[s], 0) * rated_share for s, n in frequent.items()}, idf | {"": float(np.log(1 + total / least))}, **how), labelled
+    idf = np.log(1 + total / np.maximum(np.append(counts, 0), least))
+    return Model(labelled, {s: max(n - own[s], 0) * rated_share for s, n in frequent.items()}, vocabulary, idf, **how), labelled
 
 
 def scores(images: DataFrame, labels: DataFrame, **how: float) -> DataFrame:

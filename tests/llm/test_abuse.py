@@ -48,22 +48,31 @@ def test_no_labels_and_no_rows(data):
     assert A.scores(data[0].limit(0), data[1]).count() == 0
 
 
+def test_grams():
+    texts = ["abab", "a", "", "é\U0001f600xyz", "abab"]
+    owner, number = A.grams(texts)
+    cut = lambda t: {f"^{t}$"[i : i + n] for n in A.SIZES for i in range(len(t) + 3 - n)}
+    held = [set(number[owner == i].tolist()) for i in range(len(texts))]
+    assert [len(h) for h in held] == [len(cut(t)) for t in texts] and held[0] == held[4]
+    assert len(held[0] & set(A.grams(["babab"])[1].tolist())) == len(cut("abab") & cut("babab"))
+    assert len(A.grams([])[0]) == 0
+
+
 def test_block_max_search_is_exact():
     r = random.Random(3)
     texts = sorted({"".join(r.choices("abcde", k=r.randint(4, 12))) for _ in range(300)})
-    idf = {g: r.uniform(0.5, 5) for t in texts for g in A.grams(t)}
-    vocabulary = {g: i for i, g in enumerate(sorted(idf))}
-    weights = np.array([idf[g] for g in vocabulary] + [6.0])
-    weight = lambda g: idf.get(g, 6.0)
+    vocabulary = A._vocabulary(texts)
+    weights = np.array([r.uniform(0.5, 5) for _ in vocabulary] + [6.0])
+    weight = {int(g): w for g, w in zip(vocabulary, weights[:-1], strict=True)}
+    cut = lambda t: {int(g): weight.get(int(g), 6.0) for g in A.grams([t])[1]}
     index = A.Index(texts, vocabulary, weights)
     asked = ["".join(r.choices("abcdef", k=9)) for _ in range(40)] + ["zz"]
     want = {}
     for q, text in enumerate(asked):
-        own = A.grams(text)
-        norm = np.sqrt(sum(weight(g) ** 2 for g in own))
+        own = cut(text)
         for i, t in enumerate(texts):
-            other = A.grams(t)
-            c = sum(weight(g) ** 2 for g in set(own) & set(other)) / norm / np.sqrt(sum(weight(g) ** 2 for g in other))
+            other = cut(t)
+            c = sum(w * w for g, w in own.items() if g in other) / np.sqrt(sum(w * w for w in own.values()) * sum(w * w for w in other.values()))
             if c >= 0.3:
                 want[q, i] = c
     owner, at, cosine = index.near(A.Grams(asked, vocabulary, weights), 0.3)
@@ -72,15 +81,15 @@ def test_block_max_search_is_exact():
 
 
 def test_postings_of_dead_blocks_are_not_read(monkeypatch):
-    texts = sorted(f"{w}{i:03d}x" for w in ("abcdefgh", "mnopqrst") for i in range(200))
-    vocabulary = {g: i for i, g in enumerate(sorted({g for t in texts for g in A.grams(t)}))}
-    index = A.Index(texts, vocabulary, np.ones(len(vocabulary) + 1))
-    read = []
-    plain = A._spread
+    texts = sorted(f"{w}{i:03d}x" for w in ("abcdefgh", "abzyxwvu") for i in range(200))
+    vocabulary = A._vocabulary(texts)
+    ones = np.ones(len(vocabulary) + 1)
+    index, read, plain = A.Index(texts, vocabulary, ones), [], A._spread
     monkeypatch.setattr(A, "_spread", lambda a, b: read.append(int((b - a).sum())) or plain(a, b))
-    index.near(A.Grams(["abcdefgh"], vocabulary, np.ones(len(vocabulary) + 1)), 0.5)
-    held = sum(int((index.to - index.from_)[index.entries[vocabulary[g]] : index.entries[vocabulary[g] + 1]].sum()) for g in A.grams("abcdefgh") if g in vocabulary)
-    assert read[1] <= held
+    owner, _, _ = index.near(A.Grams(["abcdefgh"], vocabulary, ones), 0.5)
+    at = A._found(vocabulary, A.grams(["abcdefgh"])[1])
+    held = sum(int((index.to - index.from_)[index.entries[i] : index.entries[i + 1]].sum()) for i in at if i >= 0)
+    assert len(owner) == 200 and read[1] < held  # those that share "ab" alone are held in the lists, and not read
 
 
 def test_reliability(data):
