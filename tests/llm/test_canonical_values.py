@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lanternfish.llm import canonical_values as C
 from lanternfish.session import table
@@ -31,8 +32,22 @@ def test_edges(spark, entries):
     assert sorted(map(tuple, C.license_ids(df, entries).collect())) == [("4", 5), ("5", 5)]
     assert C.license_ids(df.limit(0), entries).count() == 0
     assert C.license_ids(df, entries.limit(0)).where("license_id <> 0").count() == 0
-    with pytest.raises(ValueError, match="more than"):
-        C.license_ids(df, entries, most_entries=3)
+
+
+def test_other_lists(spark):
+    """Places and parts, mistyped, with words around them, or none of the list: no wording is needed."""
+    plain = {"wording": C.Wording(), "code": None}
+    listed = ["Germany", "United Kingdom", "United States", "Saudi Arabia", "France", "Vietnam", "New Zealand", "Côte d'Ivoire"]
+    places = spark.createDataFrame(list(enumerate(listed, 1)), "place int, name string")
+    asked = {"made in Germny": 1, "united kingdom (UK)": 2, "Untied States": 3, "Saudi-Arabia": 4, "Atlantis": None, "United": None, "France / Germany": None, "NEW ZEELAND": 7, "cote divoire": None, "cote d'ivoire": 8}
+    df = spark.createDataFrame([*enumerate([*asked, "Vietnam", None, " "])], "id int, country string")
+    got = {int(r.id): r.place for r in C.mapped_ids(df, places, "country", entry="place", **plain).collect()}
+    assert got == dict(enumerate(asked.values()))
+    parts = table(spark, "/root/testdata/sf0.001", "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("part"))
+    held = {r.name: r.part for r in parts.collect()}
+    typed = spark.createDataFrame([(p, n.upper().replace(" ", "-").replace("WIDGET", "widgte") + " (1 x)") for n, p in held.items()], "id long, value string")
+    got = {int(r.id): r.part for r in C.mapped_ids(typed, parts, "value", entry="part", **plain).collect()}
+    assert len(got) == len(held) > 40 and all(p == q for p, q in got.items())
 
 
 def test_unmatched_are_reported(spark, entries):
