@@ -102,15 +102,30 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _form(column: str) -> str:
-    """The consistent form in SQL, from the same character tables."""
+def _shown(column: str) -> str:
+    """The consistent form but for the composition of accents in SQL, from the same character tables."""
     hidden = r"'[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x00-\x08\x0E-\x1B\x7F]'"
     blanks = r"'[\s\p{Z}\x{1C}-\x{1F}\x{0B}\x{85}\x{2800}]+'"
     text = f"trim(regexp_replace(regexp_replace({column}, {hidden}, '', 'g'), {blanks}, ' ', 'g'))"
     text = f"translate({text}, {_literal(lookalike.SINGLES[0])}, {_literal(lookalike.SINGLES[1])})"
     for one, letters in lookalike.LIGATURES:
         text = f"replace({text}, {_literal(one)}, {_literal(letters)})"
-    return f"nfc_normalize({text})"
+    return text
+
+
+def _form(column: str) -> str:
+    """The consistent form in SQL."""
+    return f"nfc_normalize({_shown(column)})"
+
+
+# Words of titles as sets; every two sets that share a word are compared, by the number of words they share.
+_SETS = f"""one AS (SELECT id, min(title) AS title FROM images WHERE id IS NOT NULL AND title IS NOT NULL GROUP BY id),
+plain AS (SELECT id, regexp_replace(lower(trim(regexp_replace({_form("title")}, '{near_duplicates.MARKUP}', ' ', 'g'))), '{near_duplicates.EXTENSION}', '') AS t FROM one),
+sets AS (SELECT id, list_sort(list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{Nd}}]+'))) AS words FROM plain), held AS (SELECT * FROM sets WHERE len(words) >= 8),
+classes AS (SELECT words, min(id) AS class_id, count(*) AS copies FROM held GROUP BY words), terms AS (SELECT class_id AS c, len(words) AS n, unnest(words) AS word FROM classes),
+linked AS (SELECT a.c AS a, b.c AS b FROM terms a JOIN terms b ON a.word = b.word AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9)"""
+_COSINES = """valid AS (SELECT id, min(vec)::DOUBLE[] AS v FROM vectors WHERE id IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY id)"""
+_NEAR = f"{_COSINES}, near AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS sim FROM valid a, valid b WHERE a.id <> b.id)"
 
 
 _ONE_TITLE = "(SELECT id, min(title) AS title FROM images WHERE id IS NOT NULL AND title IS NOT NULL GROUP BY id)"
@@ -121,6 +136,10 @@ counts AS (SELECT id, len(t) AS record_terms, term, count(*) AS tf FROM (SELECT
 totals AS (SELECT term, sum(tf) AS n, count(*) AS df FROM counts GROUP BY term)"""
 
 ORACLES: dict[str, str] = {
+    "p3_found": f"WITH {_NEAR}, best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 5) DESC, other) AS r FROM near WHERE sim >= 0.85) SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM best WHERE r <= 10",
+    "p4_classes": f"WITH f AS (SELECT title AS value, {_shown('title')} AS shown FROM (SELECT DISTINCT title FROM images WHERE title IS NOT NULL)) SELECT value, min(shown) OVER (PARTITION BY nfc_normalize(shown)) AS canonical FROM f",
+    "p5_found": f"WITH {_SETS}, {_NEAR}, by_title AS (SELECT x.id AS x, y.id AS y FROM held x JOIN classes cx ON x.words = cx.words JOIN linked l ON l.a = cx.class_id JOIN classes cy ON cy.class_id = l.b JOIN held y ON y.words = cy.words UNION SELECT x.id, y.id FROM held x JOIN held y USING (words) WHERE x.id <> y.id) SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM (SELECT x, y FROM by_title UNION ALL SELECT id, other FROM near WHERE sim >= 0.95)",
+    "p5_title_groups": f"WITH {_SETS}, degree AS (SELECT a, count(*) AS links FROM linked GROUP BY a) SELECT h.id, c.class_id, c.copies, coalesce(d.links, 0)::BIGINT AS links FROM held h JOIN classes c USING (words) LEFT JOIN degree d ON d.a = c.class_id",
     "p4_found": f"WITH f AS (SELECT id, title, {_form('title')} AS form FROM {_ONE_TITLE}) SELECT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.form = b.form AND a.id < b.id AND a.title <> b.title",
     "p7_found": f"WITH {_TERMS} SELECT id, term FROM counts JOIN totals USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5",
     "p7_weights": f"WITH {_TERMS}, s AS (SELECT sum(pow(len(t), 0.75)) AS s FROM terms) SELECT id, term, tf, df, round(greatest(ln(tf * s / (n * pow(record_terms, 0.75))), 0.0), 6) AS ppmi FROM counts JOIN totals USING (term), s",
