@@ -83,7 +83,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(29)
         inside = owner[:last] == owner[n - 1 :]
         keys.append((owner[:last][inside].astype(np.uint64) << np.uint64(48)) | (h[inside] >> np.uint64(16)))
-    keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+    keys = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
     return (keys >> np.uint64(48)).astype(np.int64), keys & np.uint64(2**48 - 1)
 
 
@@ -273,7 +274,7 @@ def image_parts(images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _vocabulary(texts: list[str]) -> np.ndarray:
     """The different n-grams of all texts, in order."""
-    return np.unique(np.concatenate([grams(texts[i : i + 4_096])[1] for i in range(0, len(texts), 4_096)]))
+    return np.unique(np.concatenate([grams(texts[i : i + 1_024])[1] for i in range(0, len(texts), 1_024)]))
 
 
 def _frequencies(skeletons: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -284,8 +285,8 @@ def _frequencies(skeletons: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         known = shared.value
         counts = np.zeros(len(known), np.int64)
         for whole in batches:
-            for start in range(0, whole.num_rows, 4_096):
-                batch = whole.slice(start, 4_096)
+            for start in range(0, whole.num_rows, 1_024):
+                batch = whole.slice(start, 1_024)
                 owner, number = grams(batch.column(0).to_pylist())
                 at = _found(known, number)
                 counts += np.bincount(at[at >= 0], batch.column(1).to_numpy()[owner[at >= 0]], len(known)).astype(np.int64)
