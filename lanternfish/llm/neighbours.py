@@ -27,25 +27,31 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= k).drop("r").dropDuplicates(["a", "b"])
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *edges.columns[2:]))
+
+
 def graph(held: DataFrame, k: int = 10, floor: float = -1.0, rounds: int = 6, least_new: float = 0.002, size: int = 64, plan: V.Plan = V.Plan(6, 1)) -> DataFrame:
-    """(a, b, sim): for each class a up to k similar classes b, those below the cosine ``floor`` left out. Rounds end when at most the share ``least_new`` of the edges is new."""
+    """(a, b, sim): for each class a up to k similar classes b, those below the cosine ``floor`` left out.
+
+    A round compares two neighbours of a class if the edge to one of them is new; pairs of old ones were compared before. Rounds end when at most the share ``least_new`` of the edges is new.
+    """
     met = cut(V.verified(V.links(held, floor, k, size, plan), held, floor, size))
-    edges = cut(_best(met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")), k))
+    edges = cut(_best(_both_ways(met), k).withColumn("fresh", F.lit(True)))
     release(met)
     for _ in range(rounds):
-        out = edges.select(F.col("a").alias("m"), F.col("b").alias("n"), "sim")
-        back = edges.select(F.col("b").alias("m"), F.col("a").alias("n"), "sim")
-        around = _best(out.unionByName(back).select(F.col("m").alias("a"), F.col("n").alias("b"), "sim"), 2 * k)
-        one, two = around.select("a", F.col("b").alias("x")), around.select("a", F.col("b").alias("y"))
-        pairs = one.join(two, "a").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        around = cut(_best(_both_ways(edges).groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh")), 2 * k))
+        one, two = around.where("fresh").select("a", F.col("b").alias("x")), around.select("a", F.col("b").alias("y"), "fresh")
+        met = one.join(two, "a").where("x < y or (x > y and not fresh)")  # each pair with a new edge once
+        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         known = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = cut(V.similarity(pairs.join(known, ["a", "b"], "left_anti"), held, floor, size))
         fresh, before, old = new.count(), edges.count(), edges
-        edges = cut(_best(edges.unionByName(new).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")), k))
-        release(old, new)
+        edges = cut(_best(edges.withColumn("fresh", F.lit(False)).unionByName(_both_ways(new).withColumn("fresh", F.lit(True))), k))
+        release(old, new, around)
         if fresh <= least_new * before:
             break
-    return edges
+    return edges.select("a", "b", "sim")
 
 
 def nodes(df: DataFrame, key: str = "id", column: str = "vec", size: int = 64, similarity: float = 0.85, block_rows: int = 16_384) -> tuple[DataFrame, DataFrame, V.Plan]:
