@@ -32,6 +32,47 @@ def rejected(url: Column, width: Column, height: Column, least: int = 480, wide:
     return F.when(secure_url(F.coalesce(url, F.lit(""))) == "", "url_or_id").when(low <= 0, "dimensions_unknown").when((low < least) | (high < wide), "small").when(high > aspect * low, "aspect")
 
 
+def rejected_item(source: Column, wanted: Column, licence: Column, flagged: Column, url: Column, landing: Column, key: Column, width: Column, height: Column, sources: tuple[str, ...], licences: tuple[str, ...]) -> Column:
+    """The first rule an item of an aggregator fails, in order: source, license, sensitive_metadata, url_or_id, dimensions_unknown, small, aspect; null if none. Sizes may be text; what is no number is unknown."""
+    w, h = width.try_cast("double"), height.try_cast("double")
+    named = (secure_url(F.coalesce(url, F.lit(""))) != "") & (secure_url(F.coalesce(landing, F.lit(""))) != "") & (F.coalesce(key, F.lit("")) != "")
+    first = F.when(~F.coalesce((source == wanted) & source.isin(*sources), F.lit(False)), "source").when(~F.coalesce(licence.isin(*licences), F.lit(False)), "license")
+    first = first.when(F.coalesce(flagged, F.lit(False)), "sensitive_metadata").when(~named, "url_or_id")
+    return first.when(w.isNull() | h.isNull(), "dimensions_unknown").otherwise(rejected(url, w, h))
+
+
+#: Licence classes that may be asked for.
+CLASSES = ("public_domain", "attribution", "share_alike")
+
+
+def asked_classes(asked: str) -> list[str]:
+    """The classes of a comma-separated list, in order, each once; an unknown one is an error."""
+    wanted = sorted({c for c in asked.split(",") if c})
+    if unknown := set(wanted) - set(CLASSES):
+        raise ValueError(f"unknown licence classes: {', '.join(sorted(unknown))}")
+    return wanted
+
+
+def in_classes(value: Column, asked: str) -> Column:
+    """Any of the asked classes; without one, all."""
+    wanted = asked_classes(asked)
+    return value.isin(*wanted) if wanted else F.lit(True)
+
+
+def within_bytes(value: Column, most: int = 15_000_000) -> Column:
+    return F.octet_length(value) <= most
+
+
+def short_meta(images: DataFrame) -> DataFrame:
+    """(i, t, c, w): id, title, creator and width of images under short names, as a static page carries them."""
+    return images.select(F.col("id").alias("i"), F.substring(clean_text(F.col("title")), 1, 300).alias("t"), F.substring(clean_text(F.col("creator")), 1, 120).alias("c"), F.coalesce("width", F.lit(0)).alias("w"))
+
+
+def flagged_item(mature: Column, sensitivity: Column) -> Column:
+    """An item that its source marks as mature or sensitive; unmarked ones are not."""
+    return F.coalesce(mature, F.lit(False)) | F.coalesce(F.size(sensitivity) > 0, F.lit(False))
+
+
 def _shaped(df: DataFrame, **columns: Column) -> DataFrame:
     """All columns of the canonical row; what a source doesn't give is '' or 0."""
     empty = {f.name: F.lit("" if f.dataType.typeName() == "string" else 0).cast(f.dataType) for f in IMAGE.fields}

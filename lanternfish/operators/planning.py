@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lanternfish.operators.relational import numbered
+
 
 def name_ranges(spark: SparkSession) -> DataFrame:
     """(lower, upper): half-open ranges of names that cover all: from '', each digit, capital and capital with a small letter; the last has no end."""
@@ -19,6 +21,31 @@ def name_ranges(spark: SparkSession) -> DataFrame:
     return starts.withColumn("upper", F.lead("lower").over(W.orderBy("lower")))
 
 
+def famous(people: DataFrame, links: str, least: int, kinds: DataFrame, kind: str, gone: DataFrame | None, key: str, top: int) -> DataFrame:
+    """People of the wanted kinds with at least so many links, the most linked first, ``top`` of them; with ``gone``, those in it are left out."""
+    rows = people.where(F.col(links) >= least).join(kinds.select(kind), kind, "left_semi")
+    if gone is not None:
+        rows = rows.join(gone.select(key), key, "left_anti")
+    return rows.orderBy(F.desc(links), key).limit(top)
+
+
+def page_ranks(pages: DataFrame, page: str, items: str, per_page: int) -> DataFrame:
+    """(item, rank): items of pages, which count from 1, with their rank in the whole list, from 0."""
+    rows = pages.select(page, F.posexplode(items).alias("_i", "item"))
+    return rows.select("item", ((F.col(page) - 1) * per_page + F.col("_i")).alias("rank"))
+
+
+def next_unit(units: DataFrame, page: str, row: str) -> DataFrame:
+    """The unit that is walked next, breadth first: the lowest page, and of these the first row."""
+    return units.orderBy(page, row).limit(1)
+
+
+def rotation(visits: DataFrame, page: str, job: str, cursor: str, place: str) -> DataFrame:
+    """Visits of a round-robin queue in their order, ``turn`` from 0: all first pages by job, all second ones, and so on. ``stuck`` marks a visit that brought the cursor of the visit before: an error of its job."""
+    before = F.lag(cursor).over(W.partitionBy(job).orderBy(page))
+    return numbered(visits.withColumn("stuck", F.coalesce(F.col(cursor) == before, F.lit(False))), [page, place, job], "turn")
+
+
 def page_units(df: DataFrame, total: str, per_page: int = 100, most: int = 30) -> DataFrame:
     """One row (…, page) per page of results, as many as the source pages to."""
     pages = F.least(F.lit(most), F.ceil(F.col(total) / per_page)).cast("int")

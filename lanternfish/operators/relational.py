@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lanternfish.session import cut
+from lanternfish.session import cut, release
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -19,6 +19,71 @@ def insert_ignore(target: DataFrame, batch: DataFrame, key: str, order: list[Col
     return first_per(batch.join(target.select(key), key, "left_anti"), [key], order)
 
 
+def insert_unique(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str], most_rounds: int = 50) -> DataFrame:
+    """Rows of the batch that INSERT OR IGNORE adds to a table with several unique keys, one after the other in the given order, whose columns tell all rows apart. Null is no key.
+
+    A row is added if no row added before it, or held by the table, shares one of its keys. In a round the rows that come first in all their keys are added, and those that share a key with these fall
+    out; every round settles the first row of each key, and few are needed. Rounds beyond ``most_rounds`` are an error.
+    """
+    rows = batch
+    for k in keys:
+        rows = rows.join(target.select(k), k, "left_anti")
+    rows, added = cut(rows.withColumn("_place", F.struct(*order))), None
+    for _ in range(most_rounds):
+        firsts = rows.withColumns({f"_first{i}": F.when(F.col(k).isNull(), F.col("_place")).otherwise(F.min("_place").over(W.partitionBy(k))) for i, k in enumerate(keys)})
+        new = cut(firsts.where(" and ".join(f"_place = _first{i}" for i in range(len(keys)))).drop(*[f"_first{i}" for i in range(len(keys))]))
+        added = new if added is None else added.unionByName(new)
+        left = rows
+        for k in keys:
+            left = left.join(new.select(k), k, "left_anti")
+        old, rows = rows, cut(left)
+        release(old)
+        if not rows.take(1):
+            return added.drop("_place")
+    raise ValueError(f"keys depend on each other in more than {most_rounds} steps")
+
+
+def insert_strict(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The table with the batch, or an error if it holds one of its keys: a page that was committed before isn't committed again."""
+    held = batch.join(target.select(*keys).withColumn("_held", F.lit(True)), keys, "left")
+    checked = held.where(F.assert_true(F.col("_held").isNull(), F.lit("a row with this key is there already")).isNull()).drop("_held")
+    return target.unionByName(checked)
+
+
+def looked_up(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of a list of ids; ids that are not there are left out."""
+    return df.join(ids.select(key), key, "left_semi")
+
+
+def keyset_page(df: DataFrame, key: str, after: object, limit: int) -> DataFrame:
+    """The page of a scroll that follows the last key seen, None for the first: a filter that reaches the scan, and a top of ``limit`` rows."""
+    rows = df if after is None else df.where(F.col(key) > F.lit(after))
+    return rows.orderBy(key).limit(limit)
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> list[Column]:
+    """An order that a seed fixes and that no other column follows: by the digest of seed and key, ties by the key."""
+    return [F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key)]
+
+
+def probe(df: DataFrame, key: str, seed: int, n: int = 200) -> DataFrame:
+    """A sample of n rows without replacement that a seed fixes."""
+    return df.orderBy(*shuffled(df, key, seed)).limit(n)
+
+
+def missing_page(page_rows: DataFrame, index: DataFrame, staged: DataFrame, key: str, order: list[Column], target: int, done: int) -> DataFrame:
+    """Rows of a page that neither the index nor the staged rows hold, as many as the target still lacks."""
+    held = index.select(key).unionByName(staged.select(key))
+    return page_rows.join(held, key, "left_anti").orderBy(*order).limit(max(target - done, 0))
+
+
+def grouped_in_order(df: DataFrame, key: str, place: Column, row: str) -> DataFrame:
+    """(key, group, rows, first): groups of a key in order of their first row; a row without a key is a group of its own, named after ``row``. ``group`` counts from 1."""
+    named = df.select(F.col(key), F.coalesce(F.concat(F.lit("k"), F.col(key)), F.concat(F.lit("r"), F.col(row).cast("string"))).alias("_g"), place.alias("_at"))
+    groups = named.groupBy("_g", key).agg(F.count("*").alias("rows"), F.min("_at").alias("first"))
+    return numbered(groups, ["first", "_g"], "group").select(key, (F.col("group") + 1).alias("group"), "rows", "first")
+
+
 def upsert(target: DataFrame, batch: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The table after INSERT OR REPLACE of the batch, of which the last row of each key counts."""
     last = first_per(batch, [key], order)

@@ -69,8 +69,8 @@ def rate_buckets(df: DataFrame, time: str, ok: Column, minutes: int = 5) -> Data
     return df.groupBy(bucket.alias("bucket")).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed")).withColumn("per_second", F.round(F.col("ok") / (60.0 * minutes), 6))
 
 
-def thinned(df: DataFrame, key: str, seconds: str, spacing: float) -> DataFrame:
-    """Rows at least ``spacing`` after the last kept row of their key. Each decision needs the one before, so a key's rows pass in order through one Python
+def thinned(df: DataFrame, key: str, seconds: str, spacing: float, most: int | None = None) -> DataFrame:
+    """Rows at least ``spacing`` after the last kept row of their key, the last ``most`` of each key, if given. Each decision needs the one before, so a key's rows pass in order through one Python
     iterator; batches stream, and no group is held whole."""
     rows = df.select(key, seconds).repartition(key).sortWithinPartitions(key, seconds)
 
@@ -86,7 +86,10 @@ def thinned(df: DataFrame, key: str, seconds: str, spacing: float) -> DataFrame:
                     keep.append(False)
             yield batch[keep]
 
-    return rows.mapInPandas(run, rows.schema)
+    kept = rows.mapInPandas(run, rows.schema)
+    if most is None:
+        return kept
+    return kept.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(seconds)))).where(F.col("_r") <= most).drop("_r")
 
 
 def cache_replay(df: DataFrame, key: str, seconds: str, ttl: float) -> DataFrame:
@@ -104,7 +107,39 @@ def most_at_once(df: DataFrame, key: str, start: str, end: str, chunk: float) ->
     return running(moments, key, ["t"], F.floor(F.col("t") / chunk), "sum", F.col("d"), "open").groupBy(key).agg(F.max("open").alias("most"))
 
 
-def carried_header(df: DataFrame, order: str, header: Column, to: str = "section", key: str | None = None) -> DataFrame:
-    """Each row with the last header at or before it."""
-    w = (W.partitionBy(key) if key else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(to, F.last(header, ignorenulls=True).over(w))
+def carried_header(df: DataFrame, order: str, header: Column, to: str = "section", key: str | None = None, rows: int = 100_000) -> DataFrame:
+    """Each row with the last header at or before it. ``order`` is a number; rows are cut to chunks of ``rows`` of it, so that without a key, too, no task sorts them all."""
+    marked = df.withColumn("_head", F.when(header.isNotNull(), F.struct(F.col(order).alias("at"), header.alias("header")))).withColumn("_all", F.lit(0))
+    return running(marked, key or "_all", [order], F.floor(F.col(order) / rows), "max", F.col("_head"), "_last").withColumn(to, F.col("_last.header")).drop("_head", "_all", "_last")
+
+
+def barren_break(df: DataFrame, key: str, order: list[str], chunk: Column, barren: Column, limit: int = 10, fail: bool = True) -> DataFrame:
+    """A breaker: the rows with ``barren``, the run of barren rows that ends at each, and an error as soon as a run reaches the limit. With ``fail`` off, ``tripped`` marks the rows instead."""
+    rows = streak(df, key, order, chunk, barren, "barren").withColumn("tripped", F.col("barren") >= limit)
+    if not fail:
+        return rows
+    return rows.where(F.assert_true(~F.col("tripped"), F.concat(F.lit(f"{limit} barren pages in a row of "), F.col(key).cast("string"))).isNull()).drop("tripped")
+
+
+def lru_replay(df: DataFrame, key: str, order: list[str], item: str, seconds: str, capacity: int, ttl: float) -> DataFrame:
+    """Every request with ``hit``: whether its item was in the key's cache of ``capacity`` items, filled not longer than ``ttl`` ago. The item used longest ago gives way. Requests pass in order
+    through one iterator; what is held is one cache."""
+    rows = df.select(key, *[c for c in order if c not in (key, item, seconds)], item, seconds).repartition(key).sortWithinPartitions(key, *order)
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes], "hit boolean"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, cache = object(), {}
+        for batch in batches:
+            hits = []
+            for k, x, t in zip(batch[key], batch[item], batch[seconds], strict=True):
+                if k != at:
+                    at, cache = k, {}
+                filled = cache.pop(x, None)
+                hit = filled is not None and t - filled < ttl
+                cache[x] = filled if hit else t
+                if len(cache) > capacity:
+                    del cache[next(iter(cache))]
+                hits.append(hit)
+            yield batch.assign(hit=hits)
+
+    return rows.mapInPandas(run, schema)

@@ -7,29 +7,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternfish.operators.sequences import running
-from lanternfish.session import cut
+from lanternfish.session import cut, release
 
 
-def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], buckets: int = 4_096) -> DataFrame:
+def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], buckets: int = 4_096, most: int = 65_536) -> DataFrame:
     """(keys, _n, one column per place): exact order statistics of each group. A place is counted from 0, an expression of the group's size ``_n``.
 
-    Equal values are counted first. Counts of value ranges show in which range a place lies, and only the values of such ranges are sorted: no group is sorted, or
-    held, as a whole. Nulls are left out.
+    Equal values are counted first. Counts of value ranges show in which range a place lies. A range that holds more than ``most`` different values, as when one outlier stretches the group, is
+    cut to ranges between its own least and greatest value again, until all are small; only the values of such ranges are sorted: no group is sorted, or held, as a whole. Nulls are left out.
     """
-    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
-    groups = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_c").alias("_n"))
-    bucket = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")) * (buckets - 1)), F.lit(0))
-    ranged = counts.join(groups, keys) if keys else counts.crossJoin(groups)
-    ranged = ranged.withColumn("_b", bucket)
-    sums = ranged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
-    sums = sums.withColumn("_upto", F.sum("_s").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_from", F.col("_upto") - F.col("_s"))
-    holds = [(p >= F.col("_from")) & (p < F.col("_upto")) for p in places.values()]
-    wanted = sums.where(F.array_contains(F.array(*holds), True)).select(*keys, "_b", "_from")
-    near = ranged.join(wanted, [*keys, "_b"])
-    upto = F.col("_from") + F.sum("_c").over(W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    near = near.withColumn("_to", upto)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    near = cut(counts.withColumns({"_g": F.lit(0).cast("long"), "_from": F.lit(0).cast("long")}))
+    sizes = cut(near.groupBy(*keys).agg(F.sum("_c").alias("_n")))
+    while True:
+        groups = near.groupBy(*keys, "_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        bucket = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")) * (buckets - 1)), F.lit(0))
+        ranged = near.join(groups, [*keys, "_g"]).withColumn("_b", bucket)
+        sums = ranged.groupBy(*keys, "_g", "_b").agg(F.sum("_c").alias("_s"), F.max("_from").alias("_from"), F.count("*").alias("_k"))
+        sums = (sums.join(sizes, keys) if keys else sums.crossJoin(sizes)).withColumn("_upto", F.col("_from") + F.sum("_s").over(W.partitionBy(*keys, "_g").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)))
+        holds = [(p >= F.col("_upto") - F.col("_s")) & (p < F.col("_upto")) for p in places.values()]
+        wanted = cut(sums.where(F.array_contains(F.array(*holds), True)).select(*keys, "_g", "_b", "_k", (F.col("_upto") - F.col("_s")).alias("_start")))
+        kept = ranged.join(wanted, [*keys, "_g", "_b"]).select(*keys, "_v", "_c", F.xxhash64("_g", "_b").alias("_g"), F.col("_start").alias("_from"))
+        largest = wanted.agg(F.max("_k")).first()[0]
+        if largest is None or largest <= most:
+            break
+        old, near = near, cut(kept)
+        release(old)
+    upto = F.col("_from") + F.sum("_c").over(W.partitionBy(*keys, "_g").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = (kept.join(sizes, keys) if keys else kept.crossJoin(sizes)).withColumn("_to", upto)
     hit = [F.max(F.when((p < F.col("_to")) & (p >= F.col("_to") - F.col("_c")), F.col("_v"))).alias(n) for n, p in places.items()]
-    return near.groupBy(*keys, "_n").agg(*hit)
+    return found.groupBy(*keys, "_n").agg(*hit)
 
 
 def index_percentile(df: DataFrame, keys: list[str], value: str, share: float, to: str) -> DataFrame:

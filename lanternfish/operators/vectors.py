@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.functions.maths import dot, sigmoid
+from lanternfish.operators.statistics import percentiles
 
 
 def int8_scale(df: DataFrame, vec: str, share: float = 0.9999) -> DataFrame:
-    """(scale): the percentile of all absolute components, exact, that the largest code stands for. Counts of distinct values are merged, not the values."""
-    values = df.select(F.explode(vec).alias("v")).select(F.abs(F.col("v").cast("double")).alias("v")).groupBy("v").count()
-    return values.agg(F.round(F.percentile("v", share, F.col("count")), 9).alias("scale"))
+    """(scale): the percentile of all absolute components, exact, that the largest code stands for. No task holds the values."""
+    values = df.select(F.explode(vec).alias("v")).select(F.abs(F.col("v").cast("double")).alias("v"))
+    return percentiles(values, [], "v", {"scale": share}).select(F.round("scale", 9).alias("scale"))
 
 
 def int8(vec: Column, scale: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lanternfish.functions import text as X
 from lanternfish.operators import packed_values, relational, statistics
 from lanternfish.operators.normalise import image_rows, rejected
-from lanternfish.plans.frames import LATEST, latest_images
+from lanternfish.functions.maths import is_valid
+from lanternfish.plans.frames import LATEST, SIZE, latest_images
 from lanternfish.plans.registry import query
 from lanternfish.session import table
 
@@ -19,7 +20,7 @@ def _clean(c: str) -> str:
     return f"coalesce(trim(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), {_WS}, ' ', 'g')), '')"
 
 
-_CLASS = "CASE WHEN regexp_matches(lower(coalesce({0}, '')), 'cc0|public domain|pdm') OR lower({0}) = 'pd' THEN 'public_domain' WHEN list_contains(regexp_split_to_array(replace(lower(coalesce({0}, '')), '-', ' '), '\\s+'), 'sa') OR contains(lower(coalesce({0}, '')), 'share') THEN 'share_alike' ELSE 'attribution' END"
+_CLASS = "CASE WHEN regexp_matches(lower(coalesce({0}, '')), 'cc0|public domain|pdm') OR regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g') = 'pd' THEN 'public_domain' WHEN list_contains(regexp_split_to_array(replace(lower(coalesce({0}, '')), '-', ' '), '\\s+'), 'sa') OR contains(lower(coalesce({0}, '')), 'share') THEN 'share_alike' ELSE 'attribution' END"
 _URL = "regexp_replace({0}, '[?#].*$', '')"
 _HOST = "coalesce(nullif(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ''), 'unknown')"
 
@@ -173,9 +174,7 @@ _VALID = "SELECT DISTINCT id FROM vectors WHERE id IS NOT NULL AND len(vec) = 64
 @query(f"WITH {LATEST}, v AS ({_VALID}) SELECT id, state FROM latest WHERE state IN ('stored', 'embedded') AND id NOT IN (SELECT id FROM v)")
 def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     """Images that still lack a valid vector."""
-    v = F.col("vec")
-    good = (F.size(v) == 64) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return latest_images(spark, sf).where(F.col("state").isin("stored", "embedded")).select("id", "state").join(table(spark, sf, "vectors").where(good).select("id"), "id", "left_anti")
+    return latest_images(spark, sf).where(F.col("state").isin("stored", "embedded")).select("id", "state").join(table(spark, sf, "vectors").where(is_valid(F.col("vec"), SIZE)).select("id"), "id", "left_anti")
 
 
 @query("SELECT DISTINCT id FROM vectors WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM images WHERE id IS NOT NULL)")
@@ -217,7 +216,7 @@ def exact_dups(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.exact_duplicates(table(spark, sf, "documents"), "text")
 
 
-_STEM = "lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '(?i)\\.(jpg|jpeg|png|tif|tiff|webp|gif)$', ''), '(?i)[\\s\\p{Z}_\\-–—]*(\\(?[0-9]+\\)?|[ivxlc]+|p{1,2}\\.?\\s*[0-9]+|page\\s*[0-9]+|no\\.?\\s*[0-9]+)[\\s\\p{Z}]*$', ''), '[\\s\\p{Z}]+', ' ', 'g')))"
+_STEM = f"lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '(?i){X.IMAGE_FILE}', ''), '(?i){X.SERIES_END}', ''), '[\\s\\p{{Z}}]+', ' ', 'g')))"
 
 
 @query(f"WITH {LATEST}, s AS (SELECT {_STEM} AS stem, count(*) AS n FROM latest GROUP BY 1) SELECT stem, n FROM s WHERE n > 1 AND length(stem) > 8")

@@ -97,13 +97,13 @@ def progress_eta(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("user_id", *[c.alias(n) for n, c in maths.progress(F.col("done"), F.lit(1000), F.col("pace")).items()])
 
 
-@query()
+@query(f"WITH RECURSIVE {_SAMPLES}, k AS (SELECT user_id, min(t) AS t FROM n GROUP BY user_id UNION ALL SELECT user_id, t FROM (SELECT k.user_id, (SELECT min(n.t) FROM n WHERE n.user_id = k.user_id AND n.t >= k.t + 3600) AS t FROM k) WHERE t IS NOT NULL) SELECT user_id, t FROM k".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
 def thinned_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples at least an hour apart, each measured from the last that was kept; sequential, so checked by its law in the tests."""
+    """Samples at least an hour apart, each measured from the last that was kept."""
     return sequences.thinned(_samples(spark, sf), "user_id", "t", 3600.0)
 
 
-@query()
+@query(f"WITH RECURSIVE {_SAMPLES}, k AS (SELECT user_id, min(t) AS t FROM n GROUP BY user_id UNION ALL SELECT user_id, t FROM (SELECT k.user_id, (SELECT min(n.t) FROM n WHERE n.user_id = k.user_id AND n.t > k.t + 7200) AS t FROM k) WHERE t IS NOT NULL), f AS (SELECT user_id, count(*) AS fills FROM k GROUP BY user_id) SELECT user_id, count(*) AS requests, count(*) - any_value(fills) AS hits FROM n JOIN f USING (user_id) GROUP BY user_id".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
 def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Hits and misses of a cache whose entries live two hours."""
     rows = sequences.cache_replay(_samples(spark, sf), "user_id", "t", 7200.0)
@@ -176,9 +176,14 @@ def page_units(spark: SparkSession, sf: str) -> DataFrame:
     return planning.page_units(table(spark, sf, "topic_hits"), "hits").select("topic", "page")
 
 
-@query()
+_PACKED = f"""WITH RECURSIVE {_UNITS}, o AS (SELECT *, row_number() OVER (ORDER BY weight DESC, topic, lic, band) AS n FROM units),
+step AS (SELECT 0::BIGINT AS n, list_transform(range(40), lambda x: 0.0::DOUBLE) AS loads, NULL::BIGINT AS lane UNION ALL
+SELECT o.n, list_transform(range(1, 41), lambda i: step.loads[i] + CASE WHEN i = list_position(step.loads, list_min(step.loads)) THEN o.weight ELSE 0.0 END), list_position(step.loads, list_min(step.loads)) - 1 FROM step JOIN o ON o.n = step.n + 1)"""
+
+
+@query(f"{_PACKED} SELECT topic, lic, band, weight, lane::INT AS lane FROM step JOIN o USING (n)")
 def lpt_pack(spark: SparkSession, sf: str) -> DataFrame:
-    """Units on forty lanes, longest first; sequential, so checked by its laws in the tests."""
+    """Units on forty lanes, longest first."""
     return planning.balanced(_units(spark, sf), ["topic", "lic", "band"], "weight", 40)
 
 
@@ -188,7 +193,7 @@ def stride_spread(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.spread(relational.stride(_units(spark, sf), ["topic", "lic", "band"], 40), "worker", "weight")
 
 
-@query()
+@query(f"{_PACKED}, s AS (SELECT lane, sum(weight) AS load FROM step JOIN o USING (n) GROUP BY lane) SELECT count(*) AS lanes, round(max(load), 6) AS max_load, round(avg(load), 6) AS mean_load, round(max(load) / avg(load), 6) AS max_over_mean FROM s")
 def lane_spread(spark: SparkSession, sf: str) -> DataFrame:
     """Imbalance of lanes after packing."""
     return statistics.spread(lpt_pack(spark, sf), "lane", "weight")
@@ -196,12 +201,24 @@ def lane_spread(spark: SparkSession, sf: str) -> DataFrame:
 
 def _queue_events(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for p in {"signup": "seed", "view": "claim", "click": "progress", "purchase": "complete", "error": "fail"}.items() for x in p])
-    return table(spark, sf, "events").select(F.col("user_id").alias("job"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.col("event_id").alias("seq"), F.element_at(kinds, F.col("event_type")).alias("kind"), (F.col("event_id") % 4).alias("worker"), F.col("value").alias("amount")).withColumn("at", F.col("us") / 1e6)
+    return table(spark, sf, "events").select(F.col("user_id").alias("job"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.col("event_id").alias("seq"), F.element_at(kinds, F.col("event_type")).alias("kind"), (F.col("event_id") % 4).alias("worker"), F.col("value").alias("amount"), F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).alias("cursor")).withColumn("at", F.col("us") / 1e6)
+
+
+_REPLAY = """WITH RECURSIVE e AS (SELECT user_id AS job, epoch_us(ts)::DOUBLE / 1e6 AS moment, CASE event_type WHEN 'signup' THEN 'seed' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS kind, event_id % 4 AS worker, value AS amount, CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR END AS cursor,
+row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+r AS (SELECT DISTINCT job, 0::BIGINT AS n, NULL::VARCHAR AS state, NULL::BIGINT AS worker, 0 AS attempts, 0.0::DOUBLE AS produced, 0.0::DOUBLE AS lease_until, NULL::VARCHAR AS cursor, 0 AS refused FROM e UNION ALL
+SELECT job, n, CASE WHEN ok AND kind = 'seed' THEN coalesce(st, 'pending') WHEN ok AND kind = 'claim' THEN 'claimed' WHEN ok AND kind = 'complete' THEN 'done' WHEN ok AND kind = 'fail' THEN 'failed' ELSE st END,
+CASE WHEN ok AND kind = 'claim' THEN w WHEN ok AND kind IN ('complete', 'fail') THEN NULL ELSE wk END, attempts + (ok AND kind = 'claim')::INT, produced + CASE WHEN ok AND kind = 'progress' THEN greatest(0.0, amount) ELSE 0.0 END,
+CASE WHEN ok AND kind IN ('claim', 'progress') THEN moment + 86400.0 WHEN ok AND kind IN ('complete', 'fail') THEN 0.0 ELSE ls END, CASE WHEN ok AND kind = 'progress' THEN coalesce(cur, cursor) ELSE cursor END, refused + (NOT ok)::INT
+FROM (SELECT *, CASE kind WHEN 'seed' THEN true WHEN 'claim' THEN coalesce(st = 'pending', false) ELSE coalesce(st = 'claimed' AND wk = w, false) END AS ok
+FROM (SELECT r.job, e.n, e.kind, e.worker AS w, e.amount, e.moment, e.cursor AS cur, r.attempts, r.produced, r.cursor, r.refused, dead, CASE WHEN dead AND r.attempts >= 8 THEN 'failed' WHEN dead THEN 'pending' ELSE r.state END AS st, CASE WHEN dead AND r.attempts < 8 THEN NULL ELSE r.worker END AS wk, CASE WHEN dead AND r.attempts < 8 THEN 0.0 ELSE r.lease_until END AS ls
+FROM (SELECT r.*, e.n AS en, coalesce(e.kind = 'claim' AND r.state = 'claimed' AND r.lease_until < e.moment, false) AS dead FROM r JOIN e ON e.job = r.job AND e.n = r.n + 1) r JOIN e ON e.job = r.job AND e.n = r.en)))
+SELECT job, state, worker, attempts, produced, lease_until, cursor, refused FROM r QUALIFY n = max(n) OVER (PARTITION BY job)"""
 
 
-@query()
+@query(_REPLAY)
 def queue_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Final state of each job after its events; a state machine, so checked by traces in the tests."""
+    """Final state of each job after its events."""
     return jobqueue.replay(_queue_events(spark, sf), 86_400.0)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.functions.maths import unit
+from lanternfish.functions.maths import is_valid, unit
 from lanternfish.operators.relational import first_per
 from lanternfish.session import table
 
@@ -22,9 +22,7 @@ LATEST = "latest AS (SELECT * FROM images WHERE id IS NOT NULL QUALIFY row_numbe
 
 def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """(id, vec): one vector of length 1 per id, of the valid ones; copies of an id are equal."""
-    v = F.col("vec")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = table(spark, sf, "vectors").where(F.col("id").isNotNull() & (F.size(v) == SIZE) & finite & F.exists(v, lambda x: x != 0))
+    rows = table(spark, sf, "vectors").where(F.col("id").isNotNull() & is_valid(F.col("vec"), SIZE))
     return rows.groupBy("id").agg(F.min("vec").alias("vec")).select("id", unit(F.col("vec")).alias("vec"))
 
 

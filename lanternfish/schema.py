@@ -14,6 +14,6 @@ IMAGE = _struct("image_id:s title:s creator:s license:s license_class:s license_
 JOB = _struct("id:l build:s unit_hash:s unit:s cursor:s state:s worker:s lease_until:d attempts:i produced:i reason:s created_at:d updated_at:d")
 VECTOR = _struct("id:s vec:v")
 MANIFEST = T.StructType([*IMAGE.fields, *_struct("cdn:s shard:s").fields])
-EVENT = _struct("job:l at:d seq:l kind:s worker:l amount:d")
+EVENT = _struct("job:l at:d seq:l kind:s worker:l amount:d cursor:s")
 EMPTY_TEXT = {f.name: "" for f in IMAGE.fields if isinstance(f.dataType, T.StringType)}
 EMPTY_NUMBER = {f.name: 0 for f in IMAGE.fields if isinstance(f.dataType, T.IntegerType)}

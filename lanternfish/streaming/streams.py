@@ -51,14 +51,24 @@ def queue_stream(events: DataFrame, lease: float = 900.0, most_attempts: int = 8
         job = Job(key[0])
         if state.exists:
             held = state.get
-            job.state, job.worker, job.attempts, job.produced, job.lease, job.refused = (held[0] or None, held[1] if held[1] >= 0 else None, *held[2:])
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-        for at, kind, worker, amount in rows[["at", "kind", "worker", "amount"]].itertuples(index=False):
-            job.apply(kind, worker, amount, at, lease, most_attempts)
-        state.update((job.state or "", -1 if job.worker is None else int(job.worker), job.attempts, job.produced, job.lease, job.refused))
+            job.state, job.worker, job.attempts, job.produced, job.lease, job.cursor, job.refused = (held[0] or None, held[1] if held[1] >= 0 else None, *held[2:5], held[5] or None, held[6])
+        # Chunks of a micro-batch come in no order, so a job's events of one batch are sorted; the files per batch bound them.
+        rows = sorted(e for batch in batches for e in batch[["at", "seq", "kind", "worker", "amount", "cursor"]].itertuples(index=False, name=None))
+        for at, _, kind, worker, amount, cursor in rows:
+            job.apply(kind, worker, amount, at, lease, most_attempts, cursor)
+        state.update((job.state or "", -1 if job.worker is None else int(job.worker), job.attempts, job.produced, job.lease, job.cursor or "", job.refused))
         yield pd.DataFrame([job.row()], columns=columns).astype({"worker": "Int64"})
 
-    return events.groupBy("job").applyInPandasWithState(step, STATE, "state string, worker long, attempts int, produced double, lease double, refused int", "update", "NoTimeout")
+    return events.groupBy("job").applyInPandasWithState(step, STATE, "state string, worker long, attempts int, produced double, lease double, cursor string, refused int", "update", "NoTimeout")
+
+
+def history(df: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """Appends the rows of every batch to a history of JSON lines. A batch has a folder of its own, so one that is run again adds nothing twice."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").json(f"{folder}/batch={number}")
+
+    return df.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True)
 
 
 def batches(folder: str) -> list[str]:
