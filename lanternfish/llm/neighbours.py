@@ -107,10 +107,11 @@ def search(asked: DataFrame, held: DataFrame, edges: DataFrame, k: int = 10, bea
     the best ``beam`` classes so far, and the walk ends when a hop finds nothing new for any search.
     """
     keyed = _entries(held, size, per_query)
+    mine = cut(keyed.join(asked.select("c").distinct(), "c", "left_semi").withColumnRenamed("c", "a"))
+    wanted = keyed.join(mine.select("key").distinct(), "key", "left_semi")  # keys that no search has are of no use, and nearly all are
     part = W.partitionBy("key", F.pmod(F.xxhash64("c"), F.lit(16))).orderBy("c")
-    starts = keyed.withColumn("r", F.row_number().over(part)).where(F.col("r") <= per_query)
+    starts = wanted.withColumn("r", F.row_number().over(part)).where(F.col("r") <= per_query)
     starts = starts.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("c"))).where(F.col("r") <= per_query).select("key", F.col("c").alias("b"))
-    mine = keyed.join(asked.select("c").distinct(), "c", "left_semi").withColumnRenamed("c", "a")
     met = mine.join(starts, "key").where("a <> b").select("a", "b").distinct()
     own = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     known = own.join(asked.select(F.col("c").alias("a")).distinct(), "a", "left_semi")  # an asked class that is a node starts from its own edges too

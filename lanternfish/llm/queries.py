@@ -119,7 +119,7 @@ def _form(column: str) -> str:
 
 
 # Words of titles as sets; every two sets that share a word are compared, by the number of words they share.
-_SETS = f"""one AS (SELECT id, min(title) AS title FROM images WHERE id IS NOT NULL AND title IS NOT NULL GROUP BY id),
+_SETS = rf"""one AS (SELECT id, min(title) AS title FROM images WHERE id IS NOT NULL AND title IS NOT NULL GROUP BY id),
 plain AS (SELECT id, regexp_replace(lower(trim(regexp_replace({_form("title")}, '{near_duplicates.MARKUP}', ' ', 'g'))), '{near_duplicates.EXTENSION}', '') AS t FROM one),
 sets AS (SELECT id, list_sort(list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{Nd}}]+'))) AS words FROM plain), held AS (SELECT * FROM sets WHERE len(words) >= 8),
 classes AS (SELECT words, min(id) AS class_id, count(*) AS copies FROM held GROUP BY words), terms AS (SELECT class_id AS c, len(words) AS n, unnest(words) AS word FROM classes),
