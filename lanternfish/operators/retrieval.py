@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanternfish.functions.text import words
+from lanternfish.session import cut
 
 SCORED = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
 
@@ -49,6 +50,41 @@ def bm25(index: DataFrame, docs: DataFrame, key: str, text: str, queries: DataFr
     return weighed.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
+def lexical(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, block_docs: int = 2_048, block_queries: int = 1_024) -> DataFrame:
+    """(qid, id, score, rank): the k best documents of each query by BM25; those that share no term with it are none.
+
+    Texts are cut to words once. Of the index, only the terms of the queries leave the documents, with the lengths beside them. Documents and queries are packed to blocks; a term's postings meet the lists of the
+    queries that have it, not each of these, and a pair of blocks adds up in arrays, of which the k best of each query leave the task. So a word that most documents and queries have costs one list a block, and
+    what crosses the network after it are k rows per query and block.
+    """
+    cutup = cut(docs.select(F.col(key).cast("long").alias("id"), words(F.col(text)).alias("t")))
+    n, avg_len = cutup.agg(F.count("*"), F.avg(F.size("t"))).first()
+    asked = cut(queries.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term")))
+    parts = max(1, -(-asked.select("qid").distinct().count() // block_queries))
+    asked = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(parts)).alias("qblock"), "term").agg(F.collect_list("qid").alias("qids"))  # at most block_queries or so in a list
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block_docs))))
+    said = cutup.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = cut(said.groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    part = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg_len or 1))))
+    weighed = hits.join(df, "term").select("term", "id", part.alias("w"), block.alias("block"))
+
+    def add(pair: pa.Table) -> pa.Table:
+        ids, place = np.unique(pair.column("id").to_numpy(), return_inverse=True)
+        lists = pair.column("qids").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        qids, asks = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        at = asks * len(ids) + np.repeat(place, sizes)
+        score = np.round(np.bincount(at, np.repeat(pair.column("w").to_numpy(), sizes), len(qids) * len(ids)).reshape(len(qids), len(ids)), 6)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids are in order, so ties go to the smaller
+        best = np.take_along_axis(score, order, axis=1)
+        q, c = np.nonzero(best > 0)
+        return pa.table({"qid": qids[q], "id": ids[order[q, c]], "score": best[q, c]})
+
+    pairs = weighed.join(asked, "term").select("block", "qblock", "id", "w", "qids").groupBy("block", "qblock")
+    return top(pairs.applyInArrow(add, SCORED), k)
+
+
 def _blocks(df: DataFrame, key: str, vec: str, size: int, rows: int) -> DataFrame:
     """Rows packed to blocks (ids, matrix) of at most ``rows`` vectors."""
 
@@ -104,6 +140,6 @@ def hybrid(docs: DataFrame, key: str, text: str, vec: str, queries: DataFrame, k
     no optimizer would do for it: a filter does not commute with a limit."""
     candidates = max(most, (offset + k) * 2)
     rows = docs if keep is None else docs.where(keep)
-    sparse = top(bm25(postings(rows, key, text), rows, key, text, queries), candidates)
+    sparse = lexical(rows, key, text, queries, candidates)
     near = dense(rows, key, vec, queries.where("qvec is not null"), candidates)
     return top(fused([sparse, near]), offset + k).where(F.col("rank") > offset).select("qid", "rank", "id", "score")

@@ -109,8 +109,8 @@ def most_at_once(df: DataFrame, key: str, start: str, end: str, chunk: float) ->
 
 def carried_header(df: DataFrame, order: str, header: Column, to: str = "section", key: str | None = None, rows: int = 100_000) -> DataFrame:
     """Each row with the last header at or before it. ``order`` is a number; rows are cut to chunks of ``rows`` of it, so that without a key, too, no task sorts them all."""
-    marked = df.withColumn("_head", F.when(header.isNotNull(), F.struct(F.col(order).alias("at"), header.alias("header")))).withColumn("_all", F.lit(0))
-    return running(marked, key or "_all", [order], F.floor(F.col(order) / rows), "max", F.col("_head"), "_last").withColumn(to, F.col("_last.header")).drop("_head", "_all", "_last")
+    marked = df.withColumn("_head", F.when(header.isNotNull(), F.struct(F.col(order).alias("at"), header.alias("header")))).withColumn("_whole", F.lit(0))
+    return running(marked, key or "_whole", [order], F.floor(F.col(order) / rows), "max", F.col("_head"), "_last").withColumn(to, F.col("_last.header")).drop("_head", "_whole", "_last")
 
 
 def barren_break(df: DataFrame, key: str, order: list[str], chunk: Column, barren: Column, limit: int = 10, fail: bool = True) -> DataFrame:

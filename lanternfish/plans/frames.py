@@ -20,9 +20,10 @@ def latest_images(spark: SparkSession, sf: str) -> DataFrame:
 LATEST = "latest AS (SELECT * FROM images WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC, state NULLS FIRST, thumb_url NULLS FIRST) = 1)"
 
 
-def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, vec): one vector of length 1 per id, of the valid ones; copies of an id are equal."""
-    rows = table(spark, sf, "vectors").where(F.col("id").isNotNull() & is_valid(F.col("vec"), SIZE))
+def unit_vectors(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """(id, vec): one vector of length 1 per id, of the valid ones, with ``only`` of the ids in it; copies of an id are equal."""
+    rows = table(spark, sf, "vectors")
+    rows = (rows if only is None else rows.join(only, "id", "left_semi")).where(F.col("id").isNotNull() & is_valid(F.col("vec"), SIZE))
     return rows.groupBy("id").agg(F.min("vec").alias("vec")).select("id", unit(F.col("vec")).alias("vec"))
 
 
@@ -33,7 +34,8 @@ SELECT id, min(vec)::DOUBLE[] AS vec FROM vectors WHERE id IS NOT NULL AND len(v
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with the vector of their image, where it has one."""
     docs = table(spark, sf, "documents")
-    return docs.join(unit_vectors(spark, sf).withColumnRenamed("id", "image_id"), "image_id", "left")
+    vectors = unit_vectors(spark, sf, docs.select(F.col("image_id").alias("id"))).withColumnRenamed("id", "image_id")
+    return docs.join(vectors, "image_id", "left")
 
 
 CATALOGUE = f"{UNITS}, catalogue AS (SELECT d.*, u.vec FROM documents d LEFT JOIN units u ON d.image_id = u.id)"

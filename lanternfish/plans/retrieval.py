@@ -66,7 +66,7 @@ def dense_fallback(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     asked = searches(docs.withColumn("vec", F.lit(None).cast("array<double>")))
-    return retrieval.top(retrieval.bm25(retrieval.postings(docs, "doc_id", "text"), docs, "doc_id", "text", asked), 10).select("qid", "rank", "id", "score")
+    return retrieval.lexical(docs, "doc_id", "text", asked, 10).select("qid", "rank", "id", "score")
 
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")

@@ -94,7 +94,7 @@ def asset_keys(spark: SparkSession, sf: str) -> DataFrame:
 _MEDIA = "lower(regexp_extract({0}, '^https?://([^/?#]*)', 1))"
 
 
-@query(f"""WITH {LATEST}, u AS (SELECT id, width, replace(thumb_url, '/t/', '/t/thumb/') AS thumb, full_url, regexp_extract(full_url, '^https?://[^/?#]*([^?#]*)', 1) AS op, regexp_extract(replace(thumb_url, '/t/', '/t/thumb/'), '^https?://[^/?#]*([^?#]*)', 1) AS tp FROM latest),
+@query(rf"""WITH {LATEST}, u AS (SELECT id, width, replace(thumb_url, '/t/', '/t/thumb/') AS thumb, full_url, regexp_extract(full_url, '^https?://[^/?#]*([^?#]*)', 1) AS op, regexp_extract(replace(thumb_url, '/t/', '/t/thumb/'), '^https?://[^/?#]*([^?#]*)', 1) AS tp FROM latest),
 s AS (SELECT *, CASE WHEN {_MEDIA.format("thumb")} = 'commons.media-host.example' AND contains(tp, '/thumb/') AND NOT regexp_matches(lower(tp), '\.(gif|svg|svg\.png)$') AND regexp_matches(regexp_extract(tp, '([^/]*)$', 1), '[0-9]+px-') THEN 'swapped' ELSE '' END AS swapped,
 CASE WHEN {_MEDIA.format("full_url")} = 'commons.media-host.example' AND starts_with(op, '/o/') AND NOT contains(op, '/thumb/') AND regexp_extract(op, '([^/]*)$', 1) <> '' AND NOT regexp_matches(lower(op), '\.(gif|svg|svg\.png)$') THEN 'https://commons.media-host.example/o/thumb/' || substr(op, 4) || '/3840px-' || regexp_extract(op, '([^/]*)$', 1) ELSE '' END AS built FROM u)
 SELECT id, CASE WHEN coalesce(width, 0) > 3840 THEN coalesce(nullif(swapped, ''), built) ELSE '' END AS rendition FROM s""")

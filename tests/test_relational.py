@@ -41,3 +41,43 @@ def test_copy_is_verified(spark):
     assert R.same_count(spark.range(3), spark.range(2)).first().copied == 3
     with pytest.raises(Exception, match="holds less"):
         R.same_count(spark.range(1), spark.range(2)).collect()
+
+
+def test_two_unique_keys(spark):
+    """As rows are inserted one after the other: a row that was left out blocks no other."""
+    import random
+
+    r = random.Random(6)
+    rows = [(i, r.randint(0, 25), r.choice([None, *range(25)])) for i in range(120)]
+    held = [(200, 3, 4), (201, 9, None)]
+    one, two, want = {3, 9}, {4}, []
+    for i, a, b in rows:
+        if a not in one and b not in two:
+            want.append(i)
+            one.add(a)
+            two |= {b} - {None}
+    schema = "i int, a int, b int"
+    got = R.insert_unique(spark.createDataFrame(held, schema), spark.createDataFrame(rows, schema), ["a", "b"], ["i"])
+    assert sorted(x.i for x in got.collect()) == want
+    assert R.insert_unique(spark.createDataFrame(held, schema), spark.createDataFrame([], schema), ["a", "b"], ["i"]).count() == 0
+
+
+def test_a_committed_page_is_not_committed_again(spark):
+    held = spark.createDataFrame([("t", 1, 5)], "topic string, page int, raw int")
+    assert R.insert_strict(held, spark.createDataFrame([("t", 2, 7)], held.schema), ["topic", "page"]).count() == 2
+    with pytest.raises(Exception, match="there already"):
+        R.insert_strict(held, spark.createDataFrame([("t", 1, 7)], held.schema), ["topic", "page"]).collect()
+
+
+def test_pages_probes_and_groups(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    after, seen = None, []
+    while page := [r.k for r in R.keyset_page(df, "k", after, 300).collect()]:
+        seen += page
+        after = page[-1]
+    assert seen == list(range(1000))
+    one, other = ([r.k for r in R.probe(df, "k", seed, 50).collect()] for seed in (0, 1))
+    assert one == [r.k for r in R.probe(df.repartition(7), "k", 0, 50).collect()] and len(set(one)) == 50 and one != other
+    assert sorted(r.k for r in R.missing_page(df.limit(10), spark.createDataFrame([(0,), (3,)], "k long"), spark.createDataFrame([(1,)], "k long"), "k", [F.col("k")], 104, 100).collect()) == [2, 4, 5, 6]
+    rows = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b"), (5, None)], "n int, g string")
+    assert [(r.g, r.group, r.rows) for r in R.grouped_in_order(rows, "g", F.col("n"), "n").orderBy("group").collect()] == [("b", 1, 2), (None, 2, 1), ("a", 3, 1), (None, 4, 1)]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.operators import retrieval as R
@@ -71,3 +72,26 @@ def test_percentiles_equal_numpy(spark):
     for r in S.index_percentile(df, ["k"], "v", 0.95, "x").collect():
         xs = sorted(data[r.k])
         assert r.x == xs[min(len(xs) - 1, int(len(xs) * 0.95))]
+
+
+def test_order_statistics_with_outliers(spark):
+    """One far value and one hot range: ranges are cut again until they are small, and the places are exact."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=3000), [1e300, -1e200], np.repeat(0.25, 500)])
+    rows = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0)], "k string, v double")
+    got = {r.k: r for r in S.at_places(rows, ["k"], "v", {"low": F.lit(0), "mid": F.floor(F.col("_n") / 2), "high": F.col("_n") - 1}, buckets=16, most=20).collect()}
+    order = np.sort(x)
+    assert (got["a"].low, got["a"].mid, got["a"].high) == (order[0], order[len(x) // 2], order[-1]) and got["b"].mid == 1.0
+    one = S.percentiles(rows.where("k = 'a'"), [], "v", {"p": 0.3}).first().p
+    assert one == pytest.approx(np.quantile(x, 0.3), rel=1e-12)
+
+
+def test_lexical_blocks_equal_full_scores(spark):
+    rng = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(w)}" for w in rng.zipf(1.5, size=int(n)) % 60)) for i, n in enumerate(rng.integers(0, 30, 200))], "id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q % 7} w1 w1 unknown") for q in range(40)] + [(99, "unknown"), (98, None)], "qid long, text string")
+    want = sorted(map(tuple, R.top(R.bm25(R.postings(docs, "id", "text"), docs, "id", "text", asked), 5).select("qid", "rank", "id", "score").collect()))
+    for n, m in ((2_048, 1_024), (16, 7)):
+        got = R.lexical(docs, "id", "text", asked, 5, block_docs=n, block_queries=m).select("qid", "rank", "id", "score")
+        assert sorted(map(tuple, got.collect())) == want
+    assert R.lexical(docs.limit(0), "id", "text", asked, 5).count() == 0 and R.lexical(docs, "id", "text", asked.limit(0), 5).count() == 0

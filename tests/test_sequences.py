@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lanternfish.operators import sequences as S
@@ -65,3 +67,42 @@ def test_two_levels_equal_one(spark):
             before = state.get(r.k, 0)
             state[r.k] = before + r.v if how == "sum" else max(before, r.v)
             assert got[r.k, r.t] == (state[r.k] if inclusive else before)
+
+
+def test_breaker(spark):
+    rows = spark.createDataFrame([("a", i, int(i == 4)) for i in range(9)] + [("b", i, i % 2) for i in range(30)], "k string, t int, n int")
+    marked = S.barren_break(rows, "k", ["t"], F.floor(F.col("t") / 3), F.col("n") == 0, limit=4, fail=False)
+    assert {(r.k, r.t) for r in marked.where("tripped").collect()} == {("a", 3), ("a", 8)}
+    assert S.barren_break(rows, "k", ["t"], F.floor(F.col("t") / 3), F.col("n") == 0, limit=5).count() == 39
+    with pytest.raises(Exception, match="4 barren pages in a row of a"):
+        S.barren_break(rows, "k", ["t"], F.floor(F.col("t") / 3), F.col("n") == 0, limit=4).collect()
+
+
+def test_lru_cache(spark):
+    import random
+
+    r = random.Random(2)
+    asked = [("k%d" % (i % 2), i, r.choice("abcdef")) for i in range(400)]
+    want = []
+    caches = {}
+    for k, t, x in asked:
+        c = caches.setdefault(k, {})
+        filled = c.pop(x, None)
+        hit = filled is not None and t - filled < 40
+        c[x] = filled if hit else t
+        if len(c) > 3:
+            del c[next(iter(c))]
+        want.append((k, t, x, hit))
+    got = S.lru_replay(spark.createDataFrame(asked, "k string, t int, x string"), "k", ["t"], "x", "t", 3, 40.0)
+    assert sorted((r.k, r.t, r.x, r.hit) for r in got.collect()) == sorted(want)
+
+
+def test_ring_keeps_the_last(spark):
+    rows = spark.createDataFrame([("a", float(t)) for t in range(100)], "k string, t double")
+    assert [r.t for r in S.thinned(rows, "k", "t", 5.0, most=3).orderBy("t").collect()] == [85.0, 90.0, 95.0]
+
+
+def test_headers_are_carried_over_chunks(spark):
+    rows = spark.range(1000).select(F.col("id").alias("i"), F.when(F.col("id") % 170 == 3, F.concat(F.lit("h"), F.col("id"))).alias("h"))
+    got = {r.i: r.s for r in S.carried_header(rows, "i", F.col("h"), "s", rows=64).collect()}
+    assert got == {i: None if i < 3 else f"h{(i - 3) // 170 * 170 + 3}" for i in range(1000)}

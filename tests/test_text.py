@@ -67,3 +67,53 @@ def test_numbers(spark):
     assert one(spark, lambda x: M.sigmoid(x, 1.0, 0.0), -1e9, "double") == 1 / (1 + math.exp(60))
     for done, queued, goal, code in ((1, 1, False, 75), (1, 0, False, 0), (5, 1, False, 0), (1, 1, True, 0)):
         assert one(spark, lambda x, q=queued, g=goal: M.exit_code(x, F.lit(5), F.lit(q), F.lit(g)), done, "int") == code
+
+
+def test_renditions(spark):
+    """From the thumbnail's address, else the original's; none for small, moving or foreign originals."""
+    hosts, host, marker = ("thumb.media.example", "upload.media.example"), "upload.media.example", "/wikipedia/commons/"
+    base = f"https://{host}{marker}"
+    cases = [
+        ("5000", f"{base}thumb/a/ab/Mill.jpg/500px-Mill.jpg?x=1", "", f"{base}thumb/a/ab/Mill.jpg/3840px-Mill.jpg"),
+        ("5000", f"https://thumb.media.example{marker}thumb/a/ab/Map.tif/lossy-page1-500px-Map.tif.jpg", "", f"https://thumb.media.example{marker}thumb/a/ab/Map.tif/lossy-page1-3840px-Map.tif.jpg"),
+        ("5000", "", f"{base}a/ab/Mill.jpg?utm=1", f"{base}thumb/a/ab/Mill.jpg/3840px-Mill.jpg"),
+        ("3840", f"{base}thumb/a/ab/Mill.jpg/500px-Mill.jpg", "", ""),
+        ("wide", f"{base}thumb/a/ab/Mill.jpg/500px-Mill.jpg", "", ""),
+        ("5000", f"{base}thumb/a/ab/Turn.gif/500px-Turn.gif", f"{base}a/ab/Turn.gif", ""),
+        ("5000", f"{base}thumb/a/ab/Plan.svg/500px-Plan.svg.png", f"{base}a/ab/Plan.svg", ""),
+        ("5000", "https://elsewhere.example/thumb/500px-Mill.jpg", "https://elsewhere.example/wikipedia/commons/a/ab/Mill.jpg", ""),
+        ("5000", "", f"{base}thumb/a/ab/Mill.jpg/500px-Mill.jpg", ""),
+        (None, None, None, ""),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, w string, t string, o string, want string")
+    got = df.withColumn("got", X.rendition(F.col("w"), F.col("t"), F.col("o"), hosts, host, marker)).orderBy("i").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_shown_thumbnails(spark):
+    df = spark.createDataFrame([("k/1.webp", "o"), ("", "o"), ("https://p/x", "o"), ("https://p/x", ""), (None, None)], "c string, o string")
+    assert [r.x for r in df.select(X.shown_thumbnail(F.col("c"), F.col("o"), "b/").alias("x")).collect()] == ["b/k/1.webp", "o", "o", "https://p/x", ""]
+
+
+def test_derivatives(spark):
+    key, thumb = X.derivative(F.col("u"), F.col("s"), F.col("l"), "site", "static.example")
+    rows = [("https://live.static.example/65535/123_abC_b.jpg", "site", "l1"), ("https://live.static.example/9_x.gif", "site", "l1"), ("https://static.example.org/123_abc_b.jpg", "site", "l1"), ("https://live.static.example/1_a.png", "other", "l1")]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "u string, s string, l string").select(key, thumb).collect()]
+    import hashlib
+
+    digest = hashlib.sha256(b"l1").hexdigest()
+    assert got == [("site:123", "https://live.static.example/65535/123_abC_n.jpg"), (f"site:{digest}", rows[1][0]), (f"site:{digest}", rows[2][0]), (f"other:{digest}", rows[3][0])]
+
+
+def test_unit_hashes_do_not_depend_on_spelling(spark):
+    df = spark.createDataFrame([('{"b": 1, "a":"é"}',), ('{"a":"\\u00e9","b":1}',), ("{broken",), (None,)], "u string")
+    got = [r.x for r in df.select(X.unit_hash(F.lit("x"), F.col("u")).alias("x")).collect()]
+    import hashlib
+
+    assert got[0] == got[1] == hashlib.sha256('x|{"a":"\\u00e9","b":1}'.encode()).hexdigest()
+    assert got[2] == hashlib.sha256(b"x|{broken").hexdigest() and got[3] is None
+
+
+def test_license_class_is_trimmed(spark):
+    df = spark.createDataFrame([(" PD ",), ("\tpd",), ("pd-usgov",), ("",)], "l string")
+    assert [r.x for r in df.select(X.license_class(F.col("l")).alias("x")).collect()] == ["public_domain", "public_domain", "attribution", "attribution"]
