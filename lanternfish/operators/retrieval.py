@@ -16,7 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanternfish.functions.text import words
+from lanternfish.functions.maths import dot
+from lanternfish.functions.text import canonical_query, words
+from lanternfish.operators.normalise import asked_classes
 from lanternfish.session import cut
 
 SCORED = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -100,6 +102,29 @@ def _blocks(df: DataFrame, key: str, vec: str, size: int, rows: int) -> DataFram
     return kept.mapInArrow(run, "ids binary, x binary")
 
 
+def nearest_bits(docs: DataFrame, key: str, bits: str, queries: DataFrame, k: int, block: int = 8_192) -> DataFrame:
+    """(qid, id, score, rank): the k signatures of 64 bits that differ from each query's (qid, bits) in fewest; the score is 64 less twice their distance, the dot product of the signs."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, block):
+                part = whole.slice(start, block)
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().astype(np.int64).tobytes()]) for c in part.columns], names=["ids", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, qx, d, dx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                qids, ids, own, other = (np.frombuffer(x, np.int64) for x in (q, d, qx, dx))
+                s = 64 - 2 * np.bitwise_count((own[:, None] ^ other[None, :]).view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                rows = np.repeat(np.arange(len(qids)), order.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(qids[rows]), pa.array(ids[order.ravel()]), pa.array(s[rows, order.ravel()].astype(np.float64))], names=SCORED.names)
+
+    left = queries.where(F.col("bits").isNotNull()).select(F.col("qid").cast("long"), "bits").mapInArrow(pack, "ids binary, x binary").toDF("q", "qx")
+    right = docs.where(F.col(bits).isNotNull()).select(F.col(key).cast("long"), bits).mapInArrow(pack, "ids binary, x binary")
+    return top(left.crossJoin(right).mapInArrow(run, SCORED), k)  # blocks of a stated query set against blocks of all rows
+
+
 def dense(docs: DataFrame, key: str, vec: str, queries: DataFrame, k: int, size: int = 64, block: int = 2_048) -> DataFrame:
     """(qid, id, score): the k documents of the highest dot product with each query, exact.
 
@@ -143,3 +168,50 @@ def hybrid(docs: DataFrame, key: str, text: str, vec: str, queries: DataFrame, k
     sparse = lexical(rows, key, text, queries, candidates)
     near = dense(rows, key, vec, queries.where("qvec is not null"), candidates)
     return top(fused([sparse, near]), offset + k).where(F.col("rank") > offset).select("qid", "rank", "id", "score")
+
+
+def refused(queries: DataFrame, terms: DataFrame, concepts: DataFrame | None = None, least: float = 0.845, vec: str = "qvec") -> DataFrame:
+    """(qid, reason): queries that are not answered. ``core`` holds a whole-word term (term, allowed) without any phrase that exempts it, wherever that stands; ``cosine`` comes as near as ``least`` to a
+    concept vector (concept). A query without a valid vector, and a session without concepts, refuse nothing by cosine. Terms and concepts are lists of the service, not of its data."""
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    asked = queries.select("qid", spaced(canonical_query(F.col("text"))).alias("c"))
+    named = asked.join(terms.select("term").distinct(), F.contains("c", spaced(F.col("term")))).select("qid", "c", "term")
+    exempt = named.join(terms.where("allowed is not null and allowed <> ''"), "term").where(F.contains("c", spaced(F.col("allowed")))).select("qid", "term")
+    core = named.join(exempt, ["qid", "term"], "left_anti").select("qid").distinct().withColumn("reason", F.lit("core"))
+    if concepts is None:
+        return core
+    valid = queries.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select("qid", F.col(vec).alias("v"))
+    folded = concepts.agg(F.collect_list("concept").alias("all"))
+    near = F.array_max(F.transform("all", lambda c: dot(F.col("v"), c)))
+    close = valid.crossJoin(F.broadcast(folded)).where(~F.isnan(near) & (near >= least)).select("qid").withColumn("reason", F.lit("cosine"))
+    return core.unionByName(close.join(core.select("qid"), "qid", "left_anti"))
+
+
+def answered(docs: DataFrame, key: str, text: str, vec: str, queries: DataFrame, classes: str = "", terms: DataFrame | None = None, concepts: DataFrame | None = None, k: int = 10, offset: int = 0, most: int = 100, score: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """(qid, rank, id, score, has_more, refusal): the search call for a batch of queries.
+
+    An unknown class is an error before anything is read. A query that is empty in its canonical form has no rows. A refused one has one row, of its reason alone. The others are answered over the documents of the
+    asked classes that aren't known to be unsafe, by both branches, or by the dense one alone where the lexical one finds nothing; one row more than the page is fetched, ``most`` at most, for ``has_more``.
+    """
+    wanted = asked_classes(classes)
+    filled = queries.where(canonical_query(F.col("text")) != "")
+    out = refused(filled, terms, concepts) if terms is not None else None
+    open_ = filled if out is None else filled.join(out.select("qid"), "qid", "left_anti")
+    keep = F.lit(True) if not wanted else F.col("license_class").isin(*wanted)
+    if score is not None:
+        keep = keep & safe_enough(F.col(score), threshold)
+    fetched = min(k + 1, most)
+    hits = hybrid(docs, key, text, vec, open_, fetched, offset, most, keep)
+    more = F.count("*").over(W.partitionBy("qid")) > k
+    page = hits.withColumn("has_more", more).where(F.col("rank") <= offset + k).withColumn("refusal", F.lit(None).cast("string"))
+    if out is None:
+        return page
+    none = out.select("qid", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("has_more"), F.col("reason").alias("refusal"))
+    return page.unionByName(none)
+
+
+def saved_overlap(found: DataFrame, saved: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, shared, of): how many of the saved results of a query (qid, ids) its k best now hold."""
+    now = found.where(F.col("rank") <= k).groupBy("qid").agg(F.collect_list("id").alias("now"))
+    both = saved.join(now, "qid", "left")
+    return both.select("qid", F.size(F.array_intersect(F.coalesce("now", F.array().cast("array<bigint>")), "ids")).alias("shared"), F.size("ids").alias("of"))

@@ -62,6 +62,36 @@ def dense_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top(retrieval.fused([near]), 10).select("qid", "rank", "id", "score")
 
 
+_ASKED = [("glacier", "mossy glacier"), ("lynx", "lynx cave")]
+
+
+def _answers() -> str:
+    """The search call in SQL: empty queries, refusals by neutral terms, one class, one row more than the page."""
+    canon = "trim(regexp_replace(translate(lower(text), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+    terms = ", ".join(f"('{a}', '{b}')" for a, b in _ASKED)
+    return f"""WITH {CATALOGUE}, {SEARCHES.replace("searches AS", "every_search AS").replace("SELECT doc_id AS qid,", f"SELECT doc_id AS qid, array_to_string({WORDS.format('text')}[1:8], ' ') AS phrase,")},
+spaced AS (SELECT qid, ' ' || {canon.replace("lower(text)", "lower(phrase)")} || ' ' AS c FROM every_search), p(term, allowed) AS (VALUES {terms}), refused AS (SELECT DISTINCT qid FROM spaced, p WHERE contains(c, ' ' || term || ' ') AND NOT contains(c, ' ' || allowed || ' ')),
+searches AS (SELECT qid, terms, qvec FROM every_search WHERE phrase <> '' AND qid NOT IN (SELECT qid FROM refused)), kept AS (SELECT * FROM catalogue WHERE (CASE doc_id % 3 WHEN 0 THEN 'public_domain' WHEN 1 THEN 'attribution' ELSE 'share_alike' END) IN ('attribution', 'share_alike')),
+{_bm25("kept")}, {_dense("kept")}, {_hybrid("kept", k=11).replace("SELECT qid, rank, id, score FROM", "SELECT qid, rank, id, score, count(*) OVER (PARTITION BY qid) > 10 AS has_more, NULL::VARCHAR AS refusal FROM")} QUALIFY rank <= 10 UNION ALL SELECT qid, NULL, NULL, NULL, false, 'core' FROM refused"""
+
+
+@query(_answers())
+def search_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The search call for all queries: empty and refused ones, a class filter, pages with a look at what follows."""
+    docs = cut(catalogue(spark, sf).select("doc_id", "text", "vec", F.element_at(F.array(*[F.lit(c) for c in ("public_domain", "attribution", "share_alike")]), (F.col("doc_id") % 3 + 1).cast("int")).alias("license_class")))
+    terms = spark.createDataFrame(_ASKED, "term string, allowed string")
+    return retrieval.answered(docs, "doc_id", "text", "vec", searches(docs), "share_alike,attribution", terms)
+
+
+@query(f"WITH {CATALOGUE}, {SEARCHES}, {_bm25('catalogue')}, {_dense('catalogue')}, {_hybrid('catalogue').replace('SELECT qid, rank, id, score FROM', 'now AS (SELECT qid, id FROM').strip()}), saved AS (SELECT qid, id FROM {_top('bm', 10)}) SELECT qid, count(*) FILTER (EXISTS (SELECT 1 FROM now WHERE now.qid = saved.qid AND now.id = saved.id))::INT AS shared, count(*)::INT AS of FROM saved GROUP BY qid".replace(") SELECT now AS (", "), now AS (").replace(") now AS", "), now AS"))
+def saved_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of ten saved results each query still has: those of the lexical branch against the fused ones."""
+    docs = cut(catalogue(spark, sf).select("doc_id", "text", "vec"))
+    asked = cut(searches(docs))
+    saved = retrieval.lexical(docs, "doc_id", "text", asked, 10).groupBy("qid").agg(F.collect_list("id").alias("ids"))
+    return retrieval.saved_overlap(retrieval.hybrid(docs, "doc_id", "text", "vec", asked), saved)
+
+
 @query(f"WITH {CATALOGUE}, {SEARCHES}, {_bm25('documents')} SELECT qid, rank, id, score FROM {_top('bm', 10)}")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -128,8 +158,8 @@ def recall_int8_rescored(spark: SparkSession, sf: str) -> DataFrame:
 def recall_binary_rescored(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates by the signs alone (64 less twice the Hamming distance), ranked again by the full vectors."""
     rows, asked = _embeddings(spark, sf)
-    signs = cut(rows.select("vec_id", F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(-1.0)).alias("signs")))
-    found = retrieval.dense(signs, "vec_id", "signs", signs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("signs").alias("qvec")), 40)
+    signs = cut(rows.select("vec_id", vectors.sign_bits(F.col("embedding")).alias("bits")))
+    found = retrieval.nearest_bits(signs, "vec_id", "bits", signs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "bits"), 40)
     full = found.select("qid", "id").join(rows.select(F.col("vec_id").alias("id"), "embedding"), "id").join(asked, "qid")
     again = retrieval.top(full.select("qid", "id", F.round(dot(F.col("qvec"), F.col("embedding")), 6).alias("score")), 10)
     return vectors.overlap(again, retrieval.dense(rows, "vec_id", "embedding", asked, 10), 10)
