@@ -80,10 +80,11 @@ def _ranked(asked: DataFrame, members: DataFrame, near: DataFrame, k: int) -> Da
 def most_similar(df: DataFrame, key: str = "id", column: str = "vec", k: int = 10, at_least: float = 0.85, slack: float = 0.15, size: int = 64, rounds: int = 6, block_rows: int = 16_384) -> DataFrame:
     """(id, other, sim, rank): for each id its k most similar other ids with a cosine of at least ``at_least``.
 
-    The graph keeps edges down to ``at_least - slack``, over which the rounds walk; with ``at_least`` -1 it keeps all of the k best.
+    The graph keeps edges down to ``at_least - slack``, over which the rounds walk. Where that is no bound to speak of, neighbours of a class hardly resemble each other, and the graph keeps twice k edges a class to
+    walk over.
     """
     members, held, plan = nodes(df, key, column, size, max(at_least, 0.7), block_rows)
-    edges = graph(held, k, max(-1.0, at_least - slack), rounds, size=size, plan=plan).where(F.col("sim") >= at_least)
+    edges = graph(held, k if at_least - slack >= 0.5 else 2 * k, max(-1.0, at_least - slack), rounds, size=size, plan=plan).where(F.col("sim") >= at_least)
     return _ranked(members, members, edges, k)
 
 
