@@ -165,6 +165,21 @@ def recall_binary_rescored(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.overlap(again, retrieval.dense(rows, "vec_id", "embedding", asked, 10), 10)
 
 
+@query(f"WITH {_EXACT}, {_SCALE}, {_CODES} SELECT id AS i, array_to_string(list_transform(v, lambda x: x::INT), ',') AS v FROM c")
+def static_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The 8-bit codes of a static page's index, with short keys."""
+    return _int8_codes(spark, sf).select(F.col("vec_id").alias("i"), F.array_join(F.transform("code", lambda x: x.cast("string")), ",").alias("v"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.id AS qid, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a, e b WHERE a.id % 20 = 0 AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) <= 20)
+SELECT qid, count(*) FILTER (sim >= 0.3) AS low, count(*) FILTER (sim >= 0.4) AS high FROM s GROUP BY qid""")
+def near_dups_in_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the twenty nearest others of each probe, those above two thresholds."""
+    rows = table(spark, sf, "embeddings")
+    n = vectors.neighbour_counts(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", [0.3, 0.4])
+    return n.select("qid", F.least("n_0", F.lit(20)).cast("long").alias("low"), F.least("n_1", F.lit(20)).cast("long").alias("high"))
+
+
 @query("WITH e AS (SELECT vec_id, embedding AS v FROM embeddings) SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN v[i] > 0 THEN 1 ELSE 0 END))::INT AS positive FROM e")
 def sign_bit_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Set bits of each vector's 64-bit signature."""
