@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -61,23 +62,22 @@ def weighted_units(topics: DataFrame, hits: DataFrame, licences: DataFrame, band
     return units.select("topic", "lic", "band", F.when(weight == 0, 1.0).otherwise(weight).alias("weight"))
 
 
-def balanced(units: DataFrame, order: list[str], weight: str, lanes: int, most: int = 1_000_000) -> DataFrame:
+def balanced(units: DataFrame, order: list[str], weight: str, lanes: int) -> DataFrame:
     """Every unit with ``lane``: longest first, each to the least loaded lane, ties to the lower.
 
-    The rule is sequential, so one task places all units; a plan has a bounded number of them (``most``, checked), however much data they stand for.
+    The rule is sequential: each placement needs the one before. So all units pass, sorted on disk if need be, through one iterator that holds the loads of the lanes alone, however many units there are.
     """
-    if units.limit(most + 1).count() > most:
-        raise ValueError(f"a plan has at most {most} units")
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([weight, *order], ascending=[False, *[True] * len(order)], kind="stable")
-        heap, lane = [(0.0, i) for i in range(lanes)], []
-        for w in pdf[weight]:
-            load, i = heapq.heappop(heap)
-            lane.append(i)
-            heapq.heappush(heap, (load + w, i))
-        return pdf.assign(lane=lane)
-
     columns = units.columns
-    schema = ", ".join([*[f"`{n}` {t}" for n, t in units.dtypes], "lane int"])
-    return units.withColumn("_plan", F.lit(0)).groupBy("_plan").applyInPandas(lambda pdf: place(pdf[columns]), schema)
+    rows = units.repartition(1).sortWithinPartitions(F.desc(weight), *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heap = [(0.0, i) for i in range(lanes)]
+        for batch in batches:
+            lane = []
+            for w in batch[weight]:
+                load, i = heapq.heappop(heap)
+                lane.append(i)
+                heapq.heappush(heap, (load + w, i))
+            yield batch[columns].assign(lane=lane)
+
+    return rows.mapInPandas(run, ", ".join([*[f"`{n}` {t}" for n, t in units.dtypes], "lane int"]))

@@ -71,10 +71,12 @@ def neighbour_counts(df: DataFrame, queries: DataFrame, key: str, vec: str, thre
 def prompt_scores(df: DataFrame, key: str, vec: str, prompts: DataFrame, groups: list[str], scale: float, bias: float, most_prompts: int = 10_000) -> DataFrame:
     """(key, one column per group): the highest calibrated score of each group of prompts (group, prompt_vec), rounded to 4 places.
 
-    Prompts are few; that is checked before they are broadcast. They are folded to one array per group, so each row meets each group once.
+    Prompts are folded to one array per group, so each row meets each group once. More than ``most_prompts`` are folded in parts, each row meets each part, and the best of all parts counts.
     """
-    if prompts.limit(most_prompts + 1).count() > most_prompts:
-        raise ValueError(f"more than {most_prompts} prompts")
-    folded = prompts.groupBy().pivot("group", groups).agg(F.collect_list("prompt_vec"))
+    parts = max(1, -(-prompts.count() // most_prompts))
+    folded = prompts.withColumn("_part", F.pmod(F.xxhash64("prompt_vec"), F.lit(parts))).groupBy("_part").pivot("group", groups).agg(F.collect_list("prompt_vec")).drop("_part")
     best = {g: F.round(F.array_max(F.transform(g, lambda p: sigmoid(dot(F.col(vec), p), scale, bias))), 4) for g in groups}
-    return df.select(key, vec).crossJoin(F.broadcast(folded)).select(key, *[c.alias(g) for g, c in best.items()])
+    if parts == 1:
+        return df.select(key, vec).crossJoin(F.broadcast(folded)).select(key, *[c.alias(g) for g, c in best.items()])
+    each = df.select(key, vec).crossJoin(folded).select(key, *[c.alias(g) for g, c in best.items()])
+    return each.groupBy(key).agg(*[F.max(g).alias(g) for g in groups])

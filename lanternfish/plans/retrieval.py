@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.functions.maths import dot, sigmoid
-from lanternfish.operators import relational, retrieval, statistics, vectors
+from lanternfish.operators import approximate, relational, retrieval, statistics, vectors
 from lanternfish.plans.frames import CATALOGUE, LATEST, PROMPTS, SEARCHES, UNITS, WORDS, catalogue, latest_images, prompts, searches, unit_vectors
 from lanternfish.plans.registry import query
 from lanternfish.session import cut, table
@@ -165,6 +165,32 @@ def recall_binary_rescored(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.overlap(again, retrieval.dense(rows, "vec_id", "embedding", asked, 10), 10)
 
 
+@query()
+def dense_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate dense search in cells; its recall is the next query."""
+    rows, asked = _embeddings(spark, sf)
+    return approximate.search(rows, "vec_id", "embedding", asked, 10, approximate.cells(rows, "vec_id", "embedding")).select("qid", "rank", "id", "score")
+
+
+@query()
+def recall_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall at 10 of search in cells."""
+    rows, asked = _embeddings(spark, sf)
+    return vectors.overlap(dense_cells(spark, sf), retrieval.dense(rows, "vec_id", "embedding", asked, 10), 10)
+
+
+@query()
+def recall_product_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall at 10 of search over codes of eight and of sixteen parts, ranked again by the full vectors."""
+    rows, asked = _embeddings(spark, sf)
+    exact, out = cut(retrieval.dense(rows, "vec_id", "embedding", asked, 10)), None
+    for parts in (8, 16):
+        found = approximate.search_codes(rows, "vec_id", "embedding", asked, 10, approximate.product_codes(rows, "vec_id", "embedding", parts))
+        row = vectors.overlap(found, exact, 10).withColumn("parts", F.lit(parts))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(f"WITH {_EXACT}, {_SCALE}, {_CODES} SELECT id AS i, array_to_string(list_transform(v, lambda x: x::INT), ',') AS v FROM c")
 def static_export(spark: SparkSession, sf: str) -> DataFrame:
     """The 8-bit codes of a static page's index, with short keys."""

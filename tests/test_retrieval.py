@@ -95,3 +95,11 @@ def test_lexical_blocks_equal_full_scores(spark):
         got = R.lexical(docs, "id", "text", asked, 5, block_docs=n, block_queries=m).select("qid", "rank", "id", "score")
         assert sorted(map(tuple, got.collect())) == want
     assert R.lexical(docs.limit(0), "id", "text", asked, 5).count() == 0 and R.lexical(docs, "id", "text", asked.limit(0), 5).count() == 0
+
+
+def test_prompts_in_parts_give_the_same(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 4)))], "id int, v array<double>")
+    prompts = spark.createDataFrame([("ab"[i % 2], v.tolist()) for i, v in enumerate(rng.normal(size=(12, 4)))], "group string, prompt_vec array<double>")
+    one, parts = (sorted(map(tuple, V.prompt_scores(rows, "id", "v", prompts, ["a", "b"], 2.0, -1.0, most_prompts=n).collect())) for n in (100, 3))
+    assert one == parts and len(one) == 20
