@@ -109,7 +109,8 @@ def search(asked: DataFrame, held: DataFrame, edges: DataFrame, k: int = 10, bea
     """
     keyed = _entries(held, size, per_query)
     mine = cut(keyed.join(asked.select("c").distinct(), "c", "left_semi").withColumnRenamed("c", "a"))
-    wanted = keyed.join(mine.select("key").distinct(), "key", "left_semi")  # keys that no search has are of no use, and nearly all are
+    # Keys that no search has are of no use, and nearly all are. The list of the others is written, so that its true size decides how it is joined.
+    wanted = keyed.join(cut(mine.select("key").distinct()), "key", "left_semi")
     part = W.partitionBy("key", F.pmod(F.xxhash64("c"), F.lit(16))).orderBy("c")
     starts = wanted.withColumn("r", F.row_number().over(part)).where(F.col("r") <= per_query)
     starts = starts.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("c"))).where(F.col("r") <= per_query).select("key", F.col("c").alias("b"))
