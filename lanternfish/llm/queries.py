@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import abuse, canonical_values, distinctive, lookalike, mixing, near_duplicates, neighbours, textstats, tokenise
+from lanternfish.llm import abuse, canonical_values, distinctive, lookalike, mixing, near_duplicates, neighbours, textstats, tokenise, vectorblocks
 from lanternfish.session import cut, table
 
 
@@ -135,10 +135,16 @@ terms AS (SELECT id, list_concat(coalesce(a, []), coalesce(b, [])) AS t FROM run
 counts AS (SELECT id, len(t) AS record_terms, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM terms) GROUP BY ALL),
 totals AS (SELECT term, sum(tf) AS n, count(*) AS df FROM counts GROUP BY term)"""
 
+# Classes of equal direction, by the 16-bit codes of unit vectors.
+_DIRECTIONS = f"""{_COSINES}, scaled AS (SELECT id, list_transform(v, lambda x: x / most) AS y FROM (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) AS most FROM valid)),
+coded AS (SELECT id, list_transform(y, lambda x: round_even(x / norm * {vectorblocks.SCALE}, 0)) AS code FROM (SELECT id, y, sqrt(list_dot_product(y, y)) AS norm FROM scaled)),
+directions AS (SELECT code, min(id) AS class_id, count(*) AS copies FROM coded GROUP BY code), alike AS (SELECT a.class_id AS a, count(*) AS links FROM directions a, directions b WHERE a.class_id <> b.class_id AND list_cosine_similarity(a.code, b.code) >= 0.95 GROUP BY 1)"""
+
 ORACLES: dict[str, str] = {
     "p3_found": f"WITH {_NEAR}, best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 5) DESC, other) AS r FROM near WHERE sim >= 0.85) SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM best WHERE r <= 10",
     "p4_classes": f"WITH f AS (SELECT title AS value, {_shown('title')} AS shown FROM (SELECT DISTINCT title FROM images WHERE title IS NOT NULL)) SELECT value, min(shown) OVER (PARTITION BY nfc_normalize(shown)) AS canonical FROM f",
     "p5_found": f"WITH {_SETS}, {_NEAR}, by_title AS (SELECT x.id AS x, y.id AS y FROM held x JOIN classes cx ON x.words = cx.words JOIN linked l ON l.a = cx.class_id JOIN classes cy ON cy.class_id = l.b JOIN held y ON y.words = cy.words UNION SELECT x.id, y.id FROM held x JOIN held y USING (words) WHERE x.id <> y.id) SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM (SELECT x, y FROM by_title UNION ALL SELECT id, other FROM near WHERE sim >= 0.95)",
+    "p5_vector_groups": f"WITH {_DIRECTIONS} SELECT c.id, d.class_id, d.copies, coalesce(l.links, 0)::BIGINT AS links FROM coded c JOIN directions d USING (code) LEFT JOIN alike l ON l.a = d.class_id",
     "p5_title_groups": f"WITH {_SETS}, degree AS (SELECT a, count(*) AS links FROM linked GROUP BY a) SELECT h.id, c.class_id, c.copies, coalesce(d.links, 0)::BIGINT AS links FROM held h JOIN classes c USING (words) LEFT JOIN degree d ON d.a = c.class_id",
     "p4_found": f"WITH f AS (SELECT id, title, {_form('title')} AS form FROM {_ONE_TITLE}) SELECT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.form = b.form AND a.id < b.id AND a.title <> b.title",
     "p7_found": f"WITH {_TERMS} SELECT id, term FROM counts JOIN totals USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5",
