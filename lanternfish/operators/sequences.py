@@ -30,6 +30,11 @@ def running_best(df: DataFrame, key: str, order: list[str], chunk: Column, value
     return running(df, key, order, chunk, "max", F.col(value), to)
 
 
+def above_floor(df: DataFrame, score: str, reference: str, share: float) -> DataFrame:
+    """Rows whose score is at least the share of a reference; references near 0 count as a millionth."""
+    return df.where(F.col(score) >= share * F.greatest(F.col(reference), F.lit(1e-6)))
+
+
 def streak(df: DataFrame, key: str, order: list[str], chunk: Column, bad: Column, to: str = "streak") -> DataFrame:
     """Length of the run of bad rows that ends at each row; 0 at a good row, which resets it.
 

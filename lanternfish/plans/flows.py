@@ -39,6 +39,13 @@ def running_best(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.running_best(_pages(spark, sf), "user_id", ["ts", "event_id"], HOUR(), "value").select("user_id", "event_id", "value", "best")
 
 
+@query("SELECT user_id, event_id FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS best FROM events) WHERE value >= 0.3 * greatest(best, 1e-6)")
+def relevance_floor(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that reach a share of the best of their shard so far."""
+    rows = sequences.running_best(_pages(spark, sf), "user_id", ["ts", "event_id"], HOUR(), "value")
+    return sequences.above_floor(rows, "value", "best", 0.3).select("user_id", "event_id")
+
+
 @query("""WITH b AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS best FROM events), f AS (SELECT *, (value < 0.1 * best)::INT AS bad FROM b),
 i AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM f) SELECT user_id, event_id, (CASE WHEN bad = 1 THEN sum(bad) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END)::BIGINT AS decayed FROM i""")
 def decay_streak(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,6 +110,12 @@ def thinned_samples(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.thinned(_samples(spark, sf), "user_id", "t", 3600.0)
 
 
+@query(f"WITH RECURSIVE {_SAMPLES}, k AS (SELECT user_id, min(t) AS t FROM n GROUP BY user_id UNION ALL SELECT user_id, t FROM (SELECT k.user_id, (SELECT min(n.t) FROM n WHERE n.user_id = k.user_id AND n.t >= k.t + 3600) AS t FROM k) WHERE t IS NOT NULL) SELECT user_id, t FROM k QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC) <= 5".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
+def sample_ring(spark: SparkSession, sf: str) -> DataFrame:
+    """The last five of the samples that are an hour apart: a ring of a fixed size is the feature."""
+    return sequences.thinned(_samples(spark, sf), "user_id", "t", 3600.0, most=5)
+
+
 @query(f"WITH RECURSIVE {_SAMPLES}, k AS (SELECT user_id, min(t) AS t FROM n GROUP BY user_id UNION ALL SELECT user_id, t FROM (SELECT k.user_id, (SELECT min(n.t) FROM n WHERE n.user_id = k.user_id AND n.t > k.t + 7200) AS t FROM k) WHERE t IS NOT NULL), f AS (SELECT user_id, count(*) AS fills FROM k GROUP BY user_id) SELECT user_id, count(*) AS requests, count(*) - any_value(fills) AS hits FROM n JOIN f USING (user_id) GROUP BY user_id".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
 def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Hits and misses of a cache whose entries live two hours."""
