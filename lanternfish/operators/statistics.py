@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternfish.operators.sequences import running
-from lanternfish.session import cut, release
+from lanternfish.session import cut
 
 
-def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], buckets: int = 4_096, most: int = 65_536) -> DataFrame:
+def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], buckets: int = 4_096, most: int = 262_144) -> DataFrame:
     """(keys, _n, one column per place): exact order statistics of each group. A place is counted from 0, an expression of the group's size ``_n``.
 
     Equal values are counted first. Counts of value ranges show in which range a place lies. A range that holds more than ``most`` different values, as when one outlier stretches the group, is
@@ -18,10 +18,14 @@ def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Colu
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
     near = cut(counts.withColumns({"_g": F.lit(0).cast("long"), "_from": F.lit(0).cast("long")}))
-    sizes = cut(near.groupBy(*keys).agg(F.sum("_c").alias("_n")))
-    while True:
-        groups = near.groupBy(*keys, "_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        bucket = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")) * (buckets - 1)), F.lit(0))
+    sizes = near.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    kept = near  # if there are few values in all, they are sorted at once
+    while near.count() > most:
+        finite = F.abs("_v") < F.lit(float("inf"))  # values that are not have ranges of their own; halves don't overflow
+        half = F.when(finite, F.col("_v") / 2)
+        groups = near.groupBy(*keys, "_g").agg(F.min(half).alias("_low"), F.max(half).alias("_high"))
+        share = F.try_divide(F.col("_v") / 2 - F.col("_low"), F.col("_high") - F.col("_low"))
+        bucket = F.when(finite, F.coalesce(F.floor(share * (buckets - 1)), F.lit(0))).when(F.col("_v") < 0, -1).otherwise(buckets)
         ranged = near.join(groups, [*keys, "_g"]).withColumn("_b", bucket)
         sums = ranged.groupBy(*keys, "_g", "_b").agg(F.sum("_c").alias("_s"), F.max("_from").alias("_from"), F.count("*").alias("_k"))
         sums = (sums.join(sizes, keys) if keys else sums.crossJoin(sizes)).withColumn("_upto", F.col("_from") + F.sum("_s").over(W.partitionBy(*keys, "_g").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)))
@@ -31,8 +35,7 @@ def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Colu
         largest = wanted.agg(F.max("_k")).first()[0]
         if largest is None or largest <= most:
             break
-        old, near = near, cut(kept)
-        release(old)
+        near = cut(kept)
     upto = F.col("_from") + F.sum("_c").over(W.partitionBy(*keys, "_g").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
     found = (kept.join(sizes, keys) if keys else kept.crossJoin(sizes)).withColumn("_to", upto)
     hit = [F.max(F.when((p < F.col("_to")) & (p >= F.col("_to") - F.col("_c")), F.col("_v"))).alias(n) for n, p in places.items()]

@@ -77,7 +77,7 @@ def test_percentiles_equal_numpy(spark):
 def test_order_statistics_with_outliers(spark):
     """One far value and one hot range: ranges are cut again until they are small, and the places are exact."""
     rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(size=3000), [1e300, -1e200], np.repeat(0.25, 500)])
+    x = np.concatenate([rng.normal(size=3000), [1.7e308, -1.7e308, np.inf, -np.inf], np.repeat(0.25, 500)])
     rows = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0)], "k string, v double")
     got = {r.k: r for r in S.at_places(rows, ["k"], "v", {"low": F.lit(0), "mid": F.floor(F.col("_n") / 2), "high": F.col("_n") - 1}, buckets=16, most=20).collect()}
     order = np.sort(x)
