@@ -7,10 +7,11 @@ ranked, and ties go to the smaller id, so ranks are the same on every run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,39 +53,142 @@ def bm25(index: DataFrame, docs: DataFrame, key: str, text: str, queries: DataFr
     return weighed.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
+class _Best:
+    """The k best (score, id) of each of n queries, of all that was offered so far. ``floor`` and ``last`` are the k-th score and its id: only what is better is looked at, and sorted when there is as much of it as is kept."""
+
+    def __init__(self, qids: np.ndarray, k: int, least: float = -np.inf) -> None:
+        self.qids, self.k, self.least, n = qids, k, least, len(qids)
+        self.floor, self.last = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)
+        self.rows, self.waiting, self.fresh = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0, True
+
+    def offer(self, s: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of all queries (rows) by the documents ``ids`` (columns), not yet rounded; those under ``least`` are no answers."""
+        under = lambda x: (x - 1e-6 - np.abs(x) * 1e-12)[:, None]  # noqa: E731 - rounding moves a score by less
+        n, full = self.k * len(self.qids), s.shape[1] > self.k
+        at = np.flatnonzero(~(s < np.maximum(under(self.floor), self.least)))
+        if full and len(at) > 2 * n:
+            own = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1]
+            at = np.flatnonzero(~(s < np.maximum(under(np.fmax(own, self.floor)), self.least)))
+        q, c = np.divmod(at, s.shape[1])
+        score, found = np.round(s.ravel()[at], 6), ids[c]
+        better = ~(score < self.floor[q]) & ((score != self.floor[q]) | (found < self.last[q]))
+        self.rows.append((q[better], found[better], score[better]))
+        self.waiting += len(self.rows[-1][0])
+        if self.waiting >= n or self.fresh:
+            self.settle()
+
+    def settle(self) -> None:
+        q, ids, s = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        order = np.lexsort((ids, -s, q))
+        q = q[order]
+        starts = np.searchsorted(q, np.arange(len(self.qids) + 1))
+        order = order[np.arange(len(q)) - starts[q] < self.k]
+        q, ids, s = q[np.arange(len(q)) - starts[q] < self.k], ids[order], s[order]
+        ends = np.cumsum(np.minimum(np.diff(starts), self.k)) - 1
+        has = np.diff(starts) >= self.k
+        self.floor[has], self.last[has] = s[ends[has]], ids[ends[has]]
+        self.rows, self.waiting, self.fresh = [(q, ids, s)], 0, False
+
+    def batch(self) -> pa.RecordBatch:
+        self.settle()
+        q, ids, s = self.rows[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.qids[q]), pa.array(ids), pa.array(s)], names=SCORED.names)
+
+
+def _pairs(docs: DataFrame, queries: DataFrame, parts: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(qid, id, score): ``run`` over all blocks of documents of a part, one after another, for each block of queries (qb, of ``parts``). A task is one part by one block of queries, so it can keep the best of its queries while documents
+    pass, and k rows a query leave it. There are as few parts of documents as keep 64 tasks busy, four at least, however many documents there are; more queries make more tasks. Neither side is copied on disk."""
+    pairs = docs.coalesce(max(4, -(-64 // parts))).crossJoin(queries.repartitionById(parts, F.col("qb")).hint("shuffle_replicate_nl"))  # blocks of a stated query set against blocks of all rows
+    return pairs.mapInArrow(run, SCORED)
+
+
+def _numbers(column: pa.Array, i: int, kind: type) -> np.ndarray:
+    return np.frombuffer(column[i].as_buffer(), kind)
+
+
+def index_blocks(docs: DataFrame, key: str, text: str, rows: int) -> DataFrame:
+    """The inverted index in blocks of at most ``rows`` documents: their ids and lengths, the terms of the block with the number of documents of each, and by term the places of these documents and how often each has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                part = whole.slice(start, rows)
+                n, sizes = part.num_rows, part.column(1).value_lengths().to_numpy()
+                coded = part.column(1).flatten().dictionary_encode()
+                own, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+                term, place = np.divmod(own, n)
+                dfs = np.bincount(term, minlength=len(coded.dictionary)).astype(np.int32)
+                one = pa.array([0, len(dfs)], pa.int32())
+                packed = [pa.array([x.tobytes()]) for x in (part.column(0).to_numpy().astype(np.int64), sizes.astype(np.int32), place.astype(np.int32), tf.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([int(sizes.sum())]), *packed, pa.ListArray.from_arrays(one, coded.dictionary), pa.ListArray.from_arrays(one, pa.array(dfs))], names=["n", "words", "ids", "lens", "places", "tfs", "terms", "dfs"])
+
+    return docs.select(F.col(key).cast("long"), words(F.col(text))).mapInArrow(run, "n long, words long, ids binary, lens binary, places binary, tfs binary, terms array<string>, dfs array<int>")
+
+
 def lexical(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, block_docs: int = 2_048, block_queries: int = 1_024) -> DataFrame:
     """(qid, id, score, rank): the k best documents of each query by BM25; those that share no term with it are none.
 
-    Texts are cut to words once. Of the index, only the terms of the queries leave the documents, with the lengths beside them. Documents and queries are packed to blocks; a term's postings meet the lists of the
-    queries that have it, not each of these, and a pair of blocks adds up in arrays, of which the k best of each query leave the task. So a word that most documents and queries have costs one list a block, and
-    what crosses the network after it are k rows per query and block.
+    Texts are cut to words once and written as an inverted index in blocks of documents, a few bytes a posting. Queries are packed to blocks with the weights of their terms. Blocks of documents pass each block of
+    queries in one task, which adds up in arrays and keeps the k best of each query meanwhile: no posting is sent to queries, and k rows a query leave a task. Terms that many of a pair of blocks share are one matrix product.
     """
-    cutup = cut(docs.select(F.col(key).cast("long").alias("id"), words(F.col(text)).alias("t")))
-    n, avg_len = cutup.agg(F.count("*"), F.avg(F.size("t"))).first()
-    asked = cut(queries.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term")))
+    index = cut(index_blocks(docs, key, text, block_docs))
+    n, total = (int(x or 0) for x in index.agg(F.sum("n"), F.sum("words")).first())
+    avg_len = total / n if total else 1.0
+    asked = cut(queries.select(F.col("qid").cast("long").alias("qid"), F.explode(F.array_distinct(words(F.col("text")))).alias("term")))
     parts = max(1, -(-asked.select("qid").distinct().count() // block_queries))
-    asked = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(parts)).alias("qblock"), "term").agg(F.collect_list("qid").alias("qids"))  # at most block_queries or so in a list
-    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block_docs))))
-    said = cutup.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = cut(said.groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    part = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg_len or 1))))
-    weighed = hits.join(df, "term").select("term", "id", part.alias("w"), block.alias("block"))
-
-    def add(pair: pa.Table) -> pa.Table:
-        ids, place = np.unique(pair.column("id").to_numpy(), return_inverse=True)
-        lists = pair.column("qids").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        qids, asks = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        at = asks * len(ids) + np.repeat(place, sizes)
-        score = np.round(np.bincount(at, np.repeat(pair.column("w").to_numpy(), sizes), len(qids) * len(ids)).reshape(len(qids), len(ids)), 6)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids are in order, so ties go to the smaller
-        best = np.take_along_axis(score, order, axis=1)
-        q, c = np.nonzero(best > 0)
-        return pa.table({"qid": qids[q], "id": ids[order[q, c]], "score": best[q, c]})
-
-    pairs = weighed.join(asked, "term").select("block", "qblock", "id", "w", "qids").groupBy("block", "qblock")
-    return top(pairs.applyInArrow(add, SCORED), k)
+    df = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(df, "term").select(F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("qb"), "qid", "term", idf.alias("idf"))
+
+    def pack(block: pa.Table) -> pa.Table:
+        """One row: the queries of the block, its terms and their weights, and by term the places of the queries that ask it."""
+        qids, place = np.unique(block.column("qid").to_numpy(), return_inverse=True)
+        coded = block.column("term").combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        order, idfs = np.argsort(code, kind="stable"), np.empty(len(coded.dictionary))
+        idfs[code] = block.column("idf").to_numpy()
+        packed = (qids, idfs, np.bincount(code).astype(np.int32), place[order].astype(np.int32))
+        return pa.table([block.column("qb").slice(0, 1), *(pa.array([x.tobytes()]) for x in packed), pa.ListArray.from_arrays(pa.array([0, len(idfs)], pa.int32()), coded.dictionary)], names=["qb", "qids", "idfs", "qfs", "asks", "qterms"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for i in range(batch.num_rows):
+                if (qb := col["qb"][i].as_py()) not in held:
+                    qf = _numbers(col["qfs"], i, np.int32).astype(np.int64)
+                    qids, *own = (np.array(_numbers(col[c], i, t)) for c, t in (("qids", np.int64), ("idfs", np.float64), ("asks", np.int32)))
+                    held[qb] = _Best(qids, k, 5e-324), pa.array(col["qterms"][i].as_py(), pa.string()), qf, np.cumsum(qf) - qf, *own
+                best, terms, qf, qstart, idfs, asks = held[qb]
+                ids, lens, place, tf = (_numbers(col[c], i, t) for c, t in (("ids", np.int64), ("lens", np.int32), ("places", np.int32), ("tfs", np.int32)))
+                dfs = col["dfs"][i].values.to_numpy().astype(np.int64)
+                at = pc.fill_null(pc.index_in(col["terms"][i].values, value_set=terms), -1).to_numpy().astype(np.int64)
+                of = np.repeat(at, dfs)  # the queries' term of each posting
+                place, tf, of = place[of >= 0], tf[of >= 0], of[of >= 0]
+                w = idfs[of] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[place] / avg_len))
+                m, cols = len(best.qids), len(ids)
+                shared = np.zeros(len(qf), np.int64)
+                shared[at[at >= 0]] = dfs[at >= 0]
+                heavy = np.flatnonzero(shared * qf * 512 > m * cols)  # a product of the matrices costs less than their single sums
+                row = np.full(len(qf), -1)
+                row[heavy] = np.arange(len(heavy))
+                theirs, ours = np.zeros((len(heavy), cols)), np.zeros((m, len(heavy)))
+                mine = row[of] >= 0
+                theirs[row[of[mine]], place[mine]] = w[mine]
+                term = np.repeat(np.arange(len(qf)), qf)
+                ours[asks[row[term] >= 0], row[term[row[term] >= 0]]] = 1
+                s = ours @ theirs
+                place, of, w = place[~mine], of[~mine], w[~mine]
+                times = qf[of]
+                ends = np.cumsum(times)
+                q = asks[np.arange(ends[-1] if len(ends) else 0) + np.repeat(qstart[of] - ends + times, times)]
+                np.add.at(s.reshape(-1), q.astype(np.int64) * cols + np.repeat(place, times), np.repeat(w, times))
+                best.offer(s, ids)
+        for best, *_ in held.values():
+            yield best.batch()
+
+    blocks = weighed.groupBy("qb").applyInArrow(pack, "qb int, qids binary, idfs binary, qfs binary, asks binary, qterms array<string>")
+    return top(_pairs(index.drop("n", "words"), blocks, parts, run), k)
 
 
 def _blocks(df: DataFrame, key: str, vec: str, size: int, rows: int) -> DataFrame:

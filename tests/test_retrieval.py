@@ -103,3 +103,41 @@ def test_prompts_in_parts_give_the_same(spark):
     prompts = spark.createDataFrame([("ab"[i % 2], v.tolist()) for i, v in enumerate(rng.normal(size=(12, 4)))], "group string, prompt_vec array<double>")
     one, parts = (sorted(map(tuple, V.prompt_scores(rows, "id", "v", prompts, ["a", "b"], 2.0, -1.0, most_prompts=n).collect())) for n in (100, 3))
     assert one == parts and len(one) == 20
+
+
+def shuffled(spark, df) -> int:
+    """Bytes that all shuffles write while ``df`` is made (a function) and counted."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def so_far() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = so_far()
+    df().write.format("noop").mode("overwrite").save()
+    return so_far() - before
+
+
+def common(spark, docs: int, queries: int):
+    """Documents and queries of few words, which most of them share, and vectors."""
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join(f"w{int(w)}" for w in rng.integers(0, 40, n))
+    rows = [(i, text(30), rng.normal(size=64).tolist()) for i in range(docs)]
+    asked = [(q, text(8), rng.normal(size=64).tolist()) for q in range(queries)]
+    return spark.createDataFrame(rows, "id long, text string, v array<double>").repartition(40, "id"), spark.createDataFrame(asked, "qid long, text string, qvec array<double>")
+
+
+def test_lexical_sends_no_postings_to_queries(spark):
+    docs, asked = common(spark, 2000, 600)
+    assert shuffled(spark, lambda: R.lexical(docs, "id", "text", asked, 5, block_docs=256, block_queries=32)) < 5_000_000
+
+
+def test_words_of_all_documents_count(spark):
+    """A term that every document has weighs little, but its documents share it, as in SQL; ids decide ties across blocks."""
+    docs = spark.range(40).selectExpr("id", "concat('all ', if(id = 33, 'one', 'other')) AS text").repartition(5)
+    asked = spark.createDataFrame([(1, "all"), (2, "one all"), (3, "none")], "qid long, text string")
+    got = {}
+    for r in R.lexical(docs, "id", "text", asked, 4, block_docs=3, block_queries=1).orderBy("rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == {1: [0, 1, 2, 3], 2: [33, 0, 1, 2]}
