@@ -202,8 +202,13 @@ def _blocks(df: DataFrame, key: str, vec: str, size: int, rows: int) -> DataFram
                 x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), size)
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()])], names=["ids", "x"])
 
-    kept = df.where(F.col(vec).isNotNull() & (F.size(vec) == size) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))).select(F.col(key).cast("long"), F.col(vec).cast("array<double>"))
-    return kept.mapInArrow(run, "ids binary, x binary")
+    return _valid(df, key, vec, size).mapInArrow(run, "ids binary, x binary")
+
+
+def _valid(df: DataFrame, key: str, vec: str, size: int) -> DataFrame:
+    """Keys and vectors of ``size`` finite numbers."""
+    kept = df.where(F.col(vec).isNotNull() & (F.size(vec) == size) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
+    return kept.select(F.col(key).cast("long"), F.col(vec).cast("array<double>"))
 
 
 def nearest_bits(docs: DataFrame, key: str, bits: str, queries: DataFrame, k: int, block: int = 8_192) -> DataFrame:
@@ -230,25 +235,33 @@ def nearest_bits(docs: DataFrame, key: str, bits: str, queries: DataFrame, k: in
 
 
 def dense(docs: DataFrame, key: str, vec: str, queries: DataFrame, k: int, size: int = 64, block: int = 2_048) -> DataFrame:
-    """(qid, id, score): the k documents of the highest dot product with each query, exact.
+    """(qid, id, score, rank): the k documents of the highest dot product with each query, exact.
 
-    Blocks of queries meet blocks of documents; a pair of blocks is one matrix product of which only each query's k best leave the task. So what crosses the network are blocks and
-    k rows per query and block, never all pairs, and neither side has to fit in memory.
+    Blocks of documents pass each block of queries in one task; a pair of blocks is one matrix product, and the task keeps the k best of each query meanwhile. So what is written are the blocks of documents, once, and
+    k rows a query and task, never all pairs, and neither side has to fit in memory.
     """
+    rows = cut(_blocks(docs, key, vec, size, block).toDF("d", "dx"))
+    asked = cut(_valid(queries, "qid", "qvec", size).toDF("qid", "qvec"))
+    parts = max(1, -(-asked.count() // max(1, block // 2)))
+
+    def pack(own: pa.Table) -> pa.Table:
+        packed = own.column("qid").to_numpy(), own.column("qvec").combine_chunks().flatten().to_numpy()
+        return pa.table([own.column("qb").slice(0, 1), *(pa.array([x.tobytes()]) for x in packed)], names=["qb", "q", "qx"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
         for batch in batches:
-            for q, qx, d, dx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                qids, ids = np.frombuffer(q, np.int64), np.frombuffer(d, np.int64)
-                s = np.round(np.frombuffer(qx).reshape(-1, size) @ np.frombuffer(dx).reshape(-1, size).T, 6)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(qids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(qids[rows]), pa.array(ids[order.ravel()]), pa.array(s[rows, order.ravel()])], names=SCORED.names)
+            d, dx, qb, q, qx = batch.columns
+            for i in range(batch.num_rows):
+                if qb[i].as_py() not in held:
+                    held[qb[i].as_py()] = _Best(np.array(_numbers(q, i, np.int64)), k), np.array(_numbers(qx, i, np.float64)).reshape(-1, size)
+                best, own = held[qb[i].as_py()]
+                best.offer(own @ _numbers(dx, i, np.float64).reshape(-1, size).T, _numbers(d, i, np.int64))
+        for best, _ in held.values():
+            yield best.batch()
 
-    left = _blocks(queries, "qid", "qvec", size, block).select(F.col("ids").alias("q"), F.col("x").alias("qx"))
-    right = _blocks(docs, key, vec, size, block)
-    pairs = left.crossJoin(right)  # blocks of a stated query set against blocks of all rows
-    return top(pairs.mapInArrow(run, SCORED), k)
+    blocks = asked.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).groupBy("qb").applyInArrow(pack, "qb int, q binary, qx binary")
+    return top(_pairs(rows, blocks, parts, run), k)
 
 
 def fused(branches: list[DataFrame], constant: int = 60) -> DataFrame:

@@ -141,3 +141,26 @@ def test_words_of_all_documents_count(spark):
     for r in R.lexical(docs, "id", "text", asked, 4, block_docs=3, block_queries=1).orderBy("rank").collect():
         got.setdefault(r.qid, []).append(r.id)
     assert got == {1: [0, 1, 2, 3], 2: [33, 0, 1, 2]}
+
+
+def test_dense_sends_few_rows_a_query(spark):
+    docs, asked = common(spark, 2400, 400)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are too large for it
+    try:
+        assert shuffled(spark, lambda: R.dense(docs, "id", "v", asked, 50, block=32)) < 4_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_best_of_many_blocks(spark):
+    """What is kept while blocks pass is what sorting all at once gives, with ties and less than k."""
+    rng = np.random.default_rng(4)
+    s, ids = np.round(rng.normal(size=(6, 500)), 1) + rng.uniform(-1e-8, 1e-8, (6, 500)), rng.permutation(500)
+    s[5, 3:] = -1
+    best = R._Best(np.arange(10, 16), 7, -0.5)
+    for start in range(0, 500, 9):
+        best.offer(s[:, start : start + 9], ids[start : start + 9])
+    got = best.batch().to_pydict()
+    for q in range(6):
+        order = [i for i in np.lexsort((ids, -np.round(s[q], 6))) if s[q, i] >= -0.5][:7]
+        assert [x for p, x in zip(got["qid"], got["id"], strict=True) if p == 10 + q] == list(ids[order])
