@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +166,10 @@ def test_best_of_many_blocks(spark):
     for q in range(6):
         order = [i for i in np.lexsort((ids, -np.round(s[q], 6))) if s[q, i] >= -0.5][:7]
         assert [x for p, x in zip(got["qid"], got["id"], strict=True) if p == 10 + q] == list(ids[order])
+
+
+def test_answers_send_no_postings_to_queries(spark, monkeypatch):
+    docs, asked = common(spark, 2000, 600)
+    docs = docs.withColumn("license_class", F.when(F.col("id") % 10 == 0, "public_domain").otherwise("attribution"))
+    monkeypatch.setattr(R, "lexical", partial(R.lexical, block_docs=256, block_queries=32))
+    assert shuffled(spark, lambda: R.answered(docs, "id", "text", "v", asked, "attribution", k=4, most=10)) < 16_000_000
