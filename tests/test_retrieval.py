@@ -173,3 +173,9 @@ def test_answers_send_no_postings_to_queries(spark, monkeypatch):
     docs = docs.withColumn("license_class", F.when(F.col("id") % 10 == 0, "public_domain").otherwise("attribution"))
     monkeypatch.setattr(R, "lexical", partial(R.lexical, block_docs=256, block_queries=32))
     assert shuffled(spark, lambda: R.answered(docs, "id", "text", "v", asked, "attribution", k=4, most=10)) < 16_000_000
+
+
+def test_filtered_search_sends_no_postings_to_queries(spark, monkeypatch):
+    docs, asked = common(spark, 2000, 600)
+    monkeypatch.setattr(R, "lexical", partial(R.lexical, block_docs=256, block_queries=32))
+    assert shuffled(spark, lambda: R.hybrid(docs, "id", "text", "v", asked, k=5, most=10, keep=F.col("id") % 10 != 0)) < 16_000_000
