@@ -277,12 +277,12 @@ def safe_enough(score: Column, threshold: float) -> Column:
     return ~F.coalesce(score >= threshold, F.lit(False))
 
 
-def hybrid(docs: DataFrame, key: str, text: str, vec: str, queries: DataFrame, k: int = 10, offset: int = 0, most: int = 100, keep: Column | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, key: str, text: str, vec: str, queries: DataFrame, k: int = 10, offset: int = 0, most: int = 100, keep: Column | None = None, sparse: DataFrame | None = None) -> DataFrame:
     """(qid, rank, id, score): the k fused results after ``offset``. ``keep`` filters both branches before their candidates are cut, which
-    no optimizer would do for it: a filter does not commute with a limit."""
+    no optimizer would do for it: a filter does not commute with a limit. ``sparse``: the lexical branch, of as many candidates or more, where it is made already."""
     candidates = max(most, (offset + k) * 2)
     rows = docs if keep is None else docs.where(keep)
-    sparse = lexical(rows, key, text, queries, candidates)
+    sparse = lexical(rows, key, text, queries, candidates) if sparse is None else sparse.where(F.col("rank") <= candidates)
     near = dense(rows, key, vec, queries.where("qvec is not null"), candidates)
     return top(fused([sparse, near]), offset + k).where(F.col("rank") > offset).select("qid", "rank", "id", "score")
 

@@ -88,8 +88,9 @@ def saved_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """How many of ten saved results each query still has: those of the lexical branch against the fused ones."""
     docs = cut(catalogue(spark, sf).select("doc_id", "text", "vec"))
     asked = cut(searches(docs))
-    saved = retrieval.lexical(docs, "doc_id", "text", asked, 10).groupBy("qid").agg(F.collect_list("id").alias("ids"))
-    return retrieval.saved_overlap(retrieval.hybrid(docs, "doc_id", "text", "vec", asked), saved)
+    sparse = cut(retrieval.lexical(docs, "doc_id", "text", asked, 100))
+    saved = sparse.where("rank <= 10").groupBy("qid").agg(F.collect_list("id").alias("ids"))
+    return retrieval.saved_overlap(retrieval.hybrid(docs, "doc_id", "text", "vec", asked, sparse=sparse), saved)
 
 
 @query(f"WITH {CATALOGUE}, {SEARCHES}, {_bm25('documents')} SELECT qid, rank, id, score FROM {_top('bm', 10)}")

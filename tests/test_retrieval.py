@@ -179,3 +179,12 @@ def test_filtered_search_sends_no_postings_to_queries(spark, monkeypatch):
     docs, asked = common(spark, 2000, 600)
     monkeypatch.setattr(R, "lexical", partial(R.lexical, block_docs=256, block_queries=32))
     assert shuffled(spark, lambda: R.hybrid(docs, "id", "text", "v", asked, k=5, most=10, keep=F.col("id") % 10 != 0)) < 16_000_000
+
+
+def test_saved_overlap_searches_texts_once(spark, monkeypatch):
+    from lanternfish.plans import retrieval as plans
+
+    calls, own = [], R.lexical
+    monkeypatch.setattr(R, "lexical", lambda *a, **k: calls.append(1) or own(*a, **k))
+    plans.saved_overlap(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
